@@ -243,7 +243,8 @@ def _halo_rows(heavy: DataFrame, panel: Panel, features: Sequence[Feature], reac
         F.sort_array(F.flatten(F.collect_list("__tail").over(earlier)), asc=False), 1, reach
     )
     return (
-        tail.select(*keys, F.explode(latest).alias("__r"))
+        tail.select(*keys, latest.alias("__latest"))
+        .select(*keys, F.explode("__latest").alias("__r"))
         .select(*keys, "__r.*")
         .withColumn(_HALO, F.lit(True))
     )

@@ -118,3 +118,76 @@ TM = (
   GROUP BY match_id, d, season, gameweek, team_no, opp_no, is_home)
 """
 )
+
+# ---- fixtures derived from the order tables -------------------------------
+
+
+def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Home side: the customer's nation; away side: nation of the order's first supplier."""
+    t = lambda n: table(spark, sf_dir, n)
+    home = t("customer").join(
+        t("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("home_team")), "c_nationkey"
+    )
+    away = t("supplier").join(
+        t("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("away_team")), "s_nationkey"
+    )
+    first = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("s_suppkey"))
+    return (
+        t("orders")
+        .join(home.select(F.col("c_custkey").alias("o_custkey"), "home_team"), "o_custkey")
+        .join(first, "o_orderkey")
+        .join(away.select("s_suppkey", "away_team"), "s_suppkey")
+        .select(
+            F.col("o_orderkey").alias("match_id"),
+            "home_team",
+            "away_team",
+            F.year("o_orderdate").cast("long").alias("season"),
+            F.month("o_orderdate").cast("long").alias("round"),
+            F.col("o_orderdate").alias("match_date"),
+        )
+    )
+
+
+FX = """WITH fx AS (
+  SELECT o_orderkey AS match_id, hn.n_name AS home_team, an.n_name AS away_team, year(o_orderdate) AS season,
+         month(o_orderdate) AS round, o_orderdate AS match_date
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation AS hn ON c_nationkey = hn.n_nationkey
+  JOIN (SELECT l_orderkey, min(l_suppkey) AS sk FROM lineitem GROUP BY l_orderkey) AS m ON m.l_orderkey = o_orderkey
+  JOIN supplier ON sk = s_suppkey JOIN nation AS an ON s_nationkey = an.n_nationkey)
+"""
+
+
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One alias dimension: every nation under three spellings."""
+    n = table(spark, sf_dir, "nation")
+    number = F.element_at(F.split("n_name", "_"), -1)
+    spellings = F.array(F.lower("n_name"), F.concat(F.lit("n"), number), F.concat(F.lit("the_nation_"), number))
+    return n.select(F.explode(spellings).alias("alias"), F.concat(F.lit("team "), number).alias("canonical"))
+
+
+ALIASES = """al AS (
+  SELECT unnest([lower(n_name), 'n' || split_part(n_name, '_', 2), 'the_nation_' || split_part(n_name, '_', 2)]) AS alias,
+         'team ' || split_part(n_name, '_', 2) AS canonical FROM nation)
+"""
+
+
+# ---- runs and their results, derived from the orders ----------------------
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy((F.col("o_custkey") % 40).alias("run_id")).agg(
+        F.max("o_orderdate").alias("started"), F.count(F.lit(1)).alias("n_rows")
+    )
+
+
+def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy((F.col("o_custkey") % 40).alias("run_id"), F.col("o_orderpriority").alias("model")).agg(
+        F.min("o_totalprice").alias("score")
+    )
+
+
+RUNS = """WITH runs AS (SELECT o_custkey % 40 AS run_id, max(o_orderdate) AS started, count(*) AS n_rows FROM orders GROUP BY 1),
+  results AS (SELECT o_custkey % 40 AS run_id, o_orderpriority AS model, min(o_totalprice) AS score FROM orders GROUP BY 1, 2)
+"""
