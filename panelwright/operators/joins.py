@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelwright.functions.text import canonical
 from panelwright.operators.clean import dedupe
 from panelwright.operators.windows import Panel, tail_mean
+from panelwright.semantics import broadcast_if_small, persisted
 
 
 # ---- set operations ------------------------------------------------------
@@ -154,6 +155,9 @@ def contained_pairs(needles: DataFrame, nid: str, ntext: str, hay: DataFrame, hi
     """
     needle = needles.select(F.col(nid).alias("n_id"), F.col(ntext).alias("n_text")).where(F.length("n_text") > 0)
     text = hay.select(F.col(hid).alias("h_id"), F.col(htext).alias("h_text"))
+    # a needle is no longer than the text around it: prune both sides first
+    needle = needle.where(F.length("n_text") <= text.agg(F.max(F.length("h_text"))).scalar())
+    text = text.where(F.length("h_text") >= needle.agg(F.min(F.length("n_text"))).scalar())
     words, chars = F.split("n_text", " "), F.split("n_text", "")
     count = F.size(words)
 
@@ -184,7 +188,11 @@ def contained_pairs(needles: DataFrame, nid: str, ntext: str, hay: DataFrame, hi
         if mine.isEmpty():
             continue
         wanted = mine.select("n_id", F.explode(n_anchor).alias("g"))
-        found = text.select("h_id", F.explode(h_anchor).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi")
+        grams_of_needles = broadcast_if_small(wanted.select("g").distinct())
+        # one pass over the texts; what is staged are hits on needle anchors only
+        found = persisted(
+            text.select("h_id", F.explode(h_anchor).alias("g")).join(grams_of_needles, "g", "left_semi"), "anchors"
+        )
         freq = found.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
         rare = (
             wanted.join(freq, "g", "left")
@@ -196,7 +204,8 @@ def contained_pairs(needles: DataFrame, nid: str, ntext: str, hay: DataFrame, hi
         step = found.join(rare, "g").select("n_id", "h_id")
         pairs = step if pairs is None else pairs.unionByName(step)
     if pairs is None:
-        return needle.join(text.select("h_id"), F.lit(False)).select(F.col("n_id").alias(nid), F.col("h_id").alias(hid))
+        nothing = F.lit(None).cast(hay.schema[hid].dataType)
+        return needle.where(F.lit(False)).select(F.col("n_id").alias(nid), nothing.alias(hid))
     return (
         pairs.join(text, "h_id")
         .join(needle, "n_id")

@@ -290,13 +290,13 @@ def _pair_key(spark, sf):
 
 @query(
     "q_concat_group",
-    """SELECT c_nationkey, c_mktsegment, string_agg(CAST(c_custkey AS VARCHAR), ', ' ORDER BY c_custkey) AS customers
-    FROM customer GROUP BY c_nationkey, c_mktsegment""",
+    """SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ', ' ORDER BY l_linenumber, l_partkey) AS parts
+    FROM lineitem GROUP BY l_orderkey""",
 )
 def _concat_group(spark, sf):
-    return table(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(
-        T.concat_group("c_custkey", "c_custkey").alias("customers")
-    )
+    """Lines of an order as text: a group is one order, as the text must hold all of it."""
+    order = F.struct("l_linenumber", "l_partkey")
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(T.concat_group("l_partkey", order).alias("parts"))
 
 
 @query(

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from panelwright.operators.clean import dedupe
 from panelwright.sources.files import PAYLOAD_SCHEMA
 from panelwright.sources.sinks import upsert_table, write_partitions
 
@@ -39,9 +41,7 @@ def maintain_table(
         spark = batch.sparkSession
         try:
             schema = spark.read.parquet(path).schema
-        except Exception:  # first batch: the table does not exist yet
-            from panelwright.operators.clean import dedupe
-
+        except AnalysisException:  # first batch: the table does not exist yet
             write_partitions(dedupe(rows, keys, [seq], keep="last"), path, by)
             return
         upsert_table(spark, path, schema, rows, keys, seq, by)
