@@ -57,21 +57,28 @@ def poisson_pmf(k: int, lam: Column | str) -> Column:
     return F.exp(-_c(lam)) * F.pow(_c(lam), F.lit(float(k))) / float(math.factorial(k))
 
 
+def _horner(coefficients: list[float], x: Column) -> Column:
+    """Polynomial, lowest power first; x appears once per power, so the expression stays small."""
+    out = F.lit(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = out * x + c
+    return out
+
+
 def poisson_cdf(k: int, lam: Column | str) -> Column:
-    """P(X <= k): the k + 1 terms of the sum, written out (k is small)."""
-    total = F.lit(1.0)
-    for i in range(1, k + 1):
-        total = total + F.pow(_c(lam), F.lit(float(i))) / float(math.factorial(i))
-    return F.exp(-_c(lam)) * total
+    """P(X <= k)."""
+    return F.exp(-_c(lam)) * _horner([1 / math.factorial(i) for i in range(k + 1)], _c(lam))
 
 
 def expected_floor(lam: Column | str, per: int = 2, upto: int = 10) -> Column:
-    """Negative expectation of floor(k / per); the tail counts as upto / per."""
-    total = None
-    for k in range(per, upto + 1):
-        term = poisson_pmf(k, lam) * (k // per)
-        total = term if total is None else total + term
-    return -(total + (1 - poisson_cdf(upto, lam)) * (upto // per))
+    """Negative expectation of floor(k / per); the tail counts as upto / per.
+
+    With tail value T: sum p(k) floor(k/per) + T (1 - sum p(k)) is T plus
+    exp(-lam) times one polynomial.
+    """
+    tail = upto // per
+    poly = _horner([(k // per - tail) / math.factorial(k) for k in range(upto + 1)], _c(lam))
+    return -(tail + F.exp(-_c(lam)) * poly)
 
 
 def nb_tail(threshold: Column, r: Column, mu: Column | str) -> Column:

@@ -158,30 +158,27 @@ def contained_pairs(needles: DataFrame, nid: str, ntext: str, hay: DataFrame, hi
     # a needle is no longer than the text around it: prune both sides first
     needle = needle.where(F.length("n_text") <= text.agg(F.max(F.length("h_text"))).scalar())
     text = text.where(F.length("h_text") >= needle.agg(F.min(F.length("n_text"))).scalar())
-    words, chars = F.split("n_text", " "), F.split("n_text", "")
+    words = F.split("n_text", " ")
     count = F.size(words)
 
-    def grams(seq: Column, lo, hi, size: int, sep: str) -> Column:
-        """Distinct runs of ``size`` items starting at positions lo..hi (1-based)."""
-        runs = F.transform(F.sequence(lo, hi), lambda i: F.concat_ws(sep, *(F.get(seq, i - 1 + j) for j in range(size))))
-        return F.array_distinct(F.when(hi >= lo, runs).otherwise(F.array().cast("array<string>")))
+    def grams(seq: Column, size: int, sep: str) -> Column:
+        """Distinct runs of ``size`` neighbours, built by zipping shifted copies (linear time)."""
+        n = F.greatest(F.size(seq) - (size - 1), F.lit(0))
+        runs = F.slice(seq, 1, n)
+        for j in range(1, size):
+            runs = F.zip_with(runs, F.slice(seq, j + 1, n), lambda x, y: F.concat_ws(sep, x, y))
+        return F.array_distinct(runs)
 
-    h_words, h_chars = F.split("h_text", " "), F.split("h_text", "")
-    one = F.lit(1)
+    inner = F.slice(words, 2, F.greatest(count - 2, F.lit(0)))
+    h_words = F.split("h_text", " ")
     # (condition on the needle, needle anchors, hay anchors)
     plans: list[tuple[Column, Column, Column]] = [
-        (count >= 4, grams(words, F.lit(2), count - 2, 2, " "), grams(h_words, one, F.size(h_words) - 1, 2, " ")),
-        (count == 3, grams(words, F.lit(2), F.lit(2), 1, " "), grams(h_words, one, F.size(h_words), 1, " ")),
+        (count >= 4, grams(inner, 2, " "), grams(h_words, 2, " ")),
+        (count == 3, grams(inner, 1, " "), grams(h_words, 1, " ")),
     ]
     for size in (3, 2, 1):
         fits = F.length("n_text") >= 3 if size == 3 else F.length("n_text") == size
-        plans.append(
-            (
-                (count <= 2) & fits,
-                grams(chars, one, F.length("n_text") - (size - 1), size, ""),
-                grams(h_chars, one, F.length("h_text") - (size - 1), size, ""),
-            )
-        )
+        plans.append(((count <= 2) & fits, grams(F.split("n_text", ""), size, ""), grams(F.split("h_text", ""), size, "")))
     pairs = None
     for cond, n_anchor, h_anchor in plans:
         mine = needle.where(cond)

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.operators.ordering import average_rank, value_ranks
+from panelwright.semantics import persisted
 
 
 def _c(c: Column | str) -> Column:
@@ -70,6 +71,7 @@ def auc(df: DataFrame, y: str, p: str) -> DataFrame:
     pairs = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("value")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y)).alias("pos")
     )
+    pairs = persisted(pairs, "scores")
     ranks = value_ranks(pairs, "value", weight="n")
     joined = pairs.select("value", "pos").join(ranks, "value")
     sums = joined.agg(
@@ -96,6 +98,7 @@ def spearman(df: DataFrame, y: str, p: str) -> DataFrame:
         .groupBy(F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    pairs = persisted(pairs, "pairs")
     out = pairs
     for c in ("y", "p"):
         ranks = value_ranks(pairs, c, weight="n").select(F.col("value").alias(c), average_rank().alias(f"r{c}"))
@@ -158,6 +161,8 @@ def points_metrics(df: DataFrame, actual: str = "actual_pts", pred: str = "pred_
         (F.col(actual) + F.coalesce(F.col(bonus), F.lit(0))).alias("ai"),
         (F.col(pred) + F.coalesce(F.col(pred_bonus), F.lit(0))).alias("pi"),
     ).withColumn("an", F.greatest(F.col("ai"), F.lit(0)))
+    # seven numbers per row, staged: the median, the ranks and the errors all read them
+    full = persisted(full, "points")
     med = median(full, "an").scalar()
     guess = F.greatest(F.col("__med"), F.lit(1e-3))
     return full.withColumn("__med", med).agg(
