@@ -81,25 +81,24 @@ def expected_floor(lam: Column | str, per: int = 2, upto: int = 10) -> Column:
     return -(tail + F.exp(-_c(lam)) * poly)
 
 
-def nb_tail(threshold: Column, r: Column, mu: Column | str) -> Column:
+def nb_tail(threshold: Column, r: Column, mu: Column | str, most: int = 12) -> Column:
     """P(X >= threshold) of a negative binomial with mean mu and dispersion r.
 
-    The mass follows p(i) = p(i-1) * (r + i - 1) / i * q, so no gamma function
-    is needed. A null r means no overdispersion: Poisson.
+    A null r means no overdispersion: Poisson. The mass follows
+    p(i) = p(i-1) f(i), so the sum below the threshold is
+    p(0) (1 + f(1) (1 + f(2) (1 + ...))): no gamma function and no loop.
+    ``most`` is the largest threshold in use; a larger one is an error.
     """
     m = F.greatest(_c(mu), F.lit(0.01))
-    step = F.when(r.isNull(), m).otherwise(r * m / (r + m))
-    grow = F.when(r.isNull(), F.lit(0.0)).otherwise(m / (r + m))
-    first = F.when(r.isNull(), F.exp(-m)).otherwise(F.pow(r / (r + m), r))
-    # p(i) / p(i-1) = (step + grow * (i - 1)) / i for both families
-    state = F.struct(first.alias("p"), first.alias("total"))
-
-    def advance(a, i):
-        p = a["p"] * (step + grow * (i - 1)) / i
-        return F.struct(p.alias("p"), (a["total"] + p).alias("total"))
-
-    below = F.aggregate(F.sequence(F.lit(1), threshold - 1), state, advance, lambda a: a["total"])
-    return clip(1 - below, 0.0, 1.0)
+    poisson = r.isNull()
+    step = F.when(poisson, m).otherwise(r * m / (r + m))
+    grow = F.when(poisson, F.lit(0.0)).otherwise(m / (r + m))
+    first = F.when(poisson, F.exp(-m)).otherwise(F.pow(r / (r + m), r))
+    nested = F.lit(1.0)
+    for i in range(most - 1, 0, -1):
+        nested = 1 + F.when(threshold > i, (step + grow * (i - 1)) / i * nested).otherwise(0.0)
+    checked = F.when(threshold > most, F.raise_error(F.lit("threshold above the declared maximum")).cast("double"))
+    return F.coalesce(checked, clip(1 - first * nested, 0.0, 1.0))
 
 
 def nb_dispersion(df: DataFrame, y: str, mu: str) -> DataFrame:

@@ -167,7 +167,7 @@ def contained_pairs(needles: DataFrame, nid: str, ntext: str, hay: DataFrame, hi
         runs = F.slice(seq, 1, n)
         for j in range(1, size):
             runs = F.zip_with(runs, F.slice(seq, j + 1, n), lambda x, y: F.concat_ws(sep, x, y))
-        return F.array_distinct(runs)
+        return runs
 
     inner = F.slice(words, 2, F.greatest(count - 2, F.lit(0)))
     h_words = F.split("h_text", " ")
@@ -179,16 +179,19 @@ def contained_pairs(needles: DataFrame, nid: str, ntext: str, hay: DataFrame, hi
     for size in (3, 2, 1):
         fits = F.length("n_text") >= 3 if size == 3 else F.length("n_text") == size
         plans.append(((count <= 2) & fits, grams(F.split("n_text", ""), size, ""), grams(F.split("h_text", ""), size, "")))
+    # one number per plan: which kinds of needle exist at all
+    present = needle.agg(*(F.count_if(cond) for cond, _, _ in plans)).first()
     pairs = None
-    for cond, n_anchor, h_anchor in plans:
-        mine = needle.where(cond)
-        if mine.isEmpty():
+    for (cond, n_anchor, h_anchor), number in zip(plans, present):
+        if not number:
             continue
-        wanted = mine.select("n_id", F.explode(n_anchor).alias("g"))
+        mine = needle.where(cond)
+        wanted = mine.select("n_id", F.explode(F.array_distinct(n_anchor)).alias("g"))
         grams_of_needles = broadcast_if_small(wanted.select("g").distinct())
         # one pass over the texts; what is staged are hits on needle anchors only
         found = persisted(
-            text.select("h_id", F.explode(h_anchor).alias("g")).join(grams_of_needles, "g", "left_semi"), "anchors"
+            text.select("h_id", F.explode(h_anchor).alias("g")).join(grams_of_needles, "g", "left_semi").distinct(),
+            "anchors",
         )
         freq = found.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
         rare = (

@@ -103,16 +103,21 @@ PAYLOAD_SCHEMA = (
 )
 
 
+def parse_documents(text: DataFrame, schema: str = PAYLOAD_SCHEMA, keep: Sequence[str] = ()) -> DataFrame:
+    """Column ``doc`` from JSON text. An unreadable text parses to all nulls and is dropped."""
+    docs = text.select(F.from_json("value", schema).alias("doc"), *keep)
+    fields = docs.schema["doc"].dataType.fieldNames()
+    known = F.array(*(F.col(f"doc.{f}").isNotNull() for f in fields))
+    return docs.where(F.col("doc").isNotNull() & F.array_contains(known, True))
+
+
 def read_payloads(spark: SparkSession, path: str, schema: str = PAYLOAD_SCHEMA, one_per_file: bool = True) -> DataFrame:
     """Match documents (gzip or plain) as column ``doc``; unreadable ones are dropped.
 
     ``one_per_file=False`` reads landed files that hold one document per line.
     """
-    text = spark.read.text(path, wholetext=one_per_file)
-    return (
-        text.select(F.from_json("value", schema).alias("doc"), F.col("_metadata.file_path").alias("source_file"))
-        .where(F.col("doc").isNotNull())
-    )
+    text = spark.read.text(path, wholetext=one_per_file).withColumn("source_file", F.col("_metadata.file_path"))
+    return parse_documents(text, schema, ["source_file"])
 
 
 def read_runs(spark: SparkSession, glob: str, schema: T.StructType | str, pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:

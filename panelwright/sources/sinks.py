@@ -37,7 +37,7 @@ def missing_keys_limited(
     the budget spills from one group into the next without a global sort.
     """
     todo = candidates.select(group, key).distinct().join(stored.select(key), key, "left_anti")
-    return todo.orderBy(group, key).limit(limit)
+    return todo.select(group, key).orderBy(group, key).limit(limit)
 
 
 def per_group(todo: DataFrame, group: str) -> DataFrame:

@@ -10,19 +10,17 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from panelwright.operators.clean import dedupe
-from panelwright.sources.files import PAYLOAD_SCHEMA
+from panelwright.sources.files import parse_documents
 from panelwright.sources.sinks import upsert_table, write_partitions
 
 
 def landed_payloads(spark: SparkSession, landing: str, one_per_file: bool = True, files_per_batch: int = 1000) -> DataFrame:
-    text = (
-        spark.readStream.option("wholetext", one_per_file).option("maxFilesPerTrigger", files_per_batch).text(landing)
-    )
-    return text.select(F.from_json("value", PAYLOAD_SCHEMA).alias("doc")).where(F.col("doc").isNotNull())
+    text = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(landing, wholetext=one_per_file)
+    return parse_documents(text)
 
 
 def maintain_table(
