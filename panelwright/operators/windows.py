@@ -35,7 +35,8 @@ class Panel:
 
     def within(self, *cols: str) -> "Panel":
         """The same panel with finer entities (a season of a player, say)."""
-        return Panel(self.entity + cols, self.order, self.period, self.block_rows)
+        period = tuple(p for p in self.period if p not in cols)
+        return Panel(self.entity + cols, self.order, period, self.block_rows)
 
     def window(self):
         return Window.partitionBy(*self.entity).orderBy(*self.order)
@@ -43,7 +44,10 @@ class Panel:
 
 @dataclass(frozen=True)
 class Rolling:
-    """Aggregate of the ``rows`` rows before this one; nulls use up a slot."""
+    """Aggregate of the ``rows`` rows before this one; nulls use up a slot.
+
+    ``within`` restarts the window per extra key (a season of the entity).
+    """
 
     col: str
     rows: int
@@ -51,6 +55,7 @@ class Rolling:
     agg: str = "avg"
     min_count: int = 1
     default: float | None = None
+    within: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -61,6 +66,7 @@ class Expanding:
     out: str
     agg: str = "sum"
     default: float | None = None
+    within: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -69,6 +75,7 @@ class Lag:
     out: str
     k: int = 1
     default: float | None = None
+    within: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -77,6 +84,7 @@ class FillPrior:
 
     col: str
     out: str
+    within: tuple[str, ...] = ()
 
 
 Feature = Rolling | Expanding | Lag | FillPrior
@@ -88,12 +96,29 @@ def rolling_features(cols: dict[str, str] | Sequence[str], windows: Sequence[int
     return [Rolling(c, n, f"{stem}_roll{n}", **kw) for c, stem in stems.items() for n in windows]
 
 
-def add_prior(df: DataFrame, panel: Panel, features: Sequence[Feature]) -> DataFrame:
-    """``df`` plus one column per feature."""
-    blocks = _heavy_blocks(df, panel) if panel.period else None
-    if blocks is None:
-        return _single_pass(df, panel, features)
-    return _blocked(df, panel, features, blocks)
+def add_prior(
+    df: DataFrame, panel: Panel, features: Sequence[Feature], sizes: DataFrame | None = None
+) -> DataFrame:
+    """``df`` plus one column per feature.
+
+    Rows per entity and period are counted first, to find heavy entities; a
+    narrow frame with the same rows can be handed in as ``sizes`` for that.
+    Entity-wide windows are planned before finer ones: rows placed by entity
+    also serve (entity, season), not the other way round.
+    """
+    groups: dict[tuple[str, ...], list[Feature]] = {}
+    for f in sorted(features, key=lambda f: len(f.within)):
+        groups.setdefault(f.within, []).append(f)
+    source = df if sizes is None else sizes
+    blocks = _heavy_blocks(source, panel) if panel.period else None
+    for within, feats in groups.items():
+        finer = panel.within(*within)
+        if blocks is not None and within:
+            part = _heavy_blocks(source, finer) if finer.period else None
+        else:
+            part = blocks
+        df = _single_pass(df, finer, feats) if part is None else _blocked(df, finer, feats, part)
+    return df
 
 
 # ---- ordinary entities ---------------------------------------------------

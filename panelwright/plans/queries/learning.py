@@ -38,7 +38,8 @@ def _oof_mean(spark, sf):
         means = train.groupBy("position").agg(F.avg("goals").alias("__m"))
         return lambda df, out: df.join(means, "position", "left").select(*df.columns, F.col("__m").alias(out))
 
-    return L.oof_predict(_folds(spark, sf), "fold", 5, fit, "oof").select("match_row", r6("oof"))
+    folds = persisted(_folds(spark, sf).select("match_row", "position", "goals", "fold"), "folds")
+    return L.oof_predict(folds, "fold", 5, fit, "oof").select("match_row", r6("oof"))
 
 
 _FORM = ["goals_roll5", "shots_roll5", "touches_roll10", "minutes_roll5", "saves_roll5"]
@@ -46,12 +47,14 @@ _FORM = ["goals_roll5", "shots_roll5", "touches_roll10", "minutes_roll5", "saves
 
 def _form(spark, sf):
     """A small feature frame, staged once because every fit reads it."""
-    feats = [*rolling_features(["goals", "shots", "minutes", "saves"], [5]), *rolling_features(["touches"], [10]), Lag("minutes", "last_minutes")]
-    season = [
-        Expanding("minutes", "current_season_minutes", default=0.0),
-        Expanding(None, "current_season_apps", "rows"),
+    feats = [
+        *rolling_features(["goals", "shots", "minutes", "saves"], [5]),
+        *rolling_features(["touches"], [10]),
+        Lag("minutes", "last_minutes"),
+        Expanding("minutes", "current_season_minutes", default=0.0, within=("season",)),
+        Expanding(None, "current_season_apps", "rows", within=("season",)),
     ]
-    df = add_prior(add_prior(player_match(spark, sf), PLAYER, feats), PLAYER.within("season"), season)
+    df = add_prior(player_match(spark, sf), PLAYER, feats)
     df = df.withColumn("current_season_mins_per_app", F.col("current_season_minutes") / F.greatest("current_season_apps", F.lit(1)))
     keep = ["match_row", "player_id", "match_id", "team_no", "opp_no", "season", "gameweek", "slot", "ts", "position", "minutes", "goals", "assists", "shots", "yellow", "saves", "fouls", "touches", "is_home"]
     return persisted(df.select(*keep, *_FORM, "last_minutes", "current_season_minutes", "current_season_apps", "current_season_mins_per_app"), "form")

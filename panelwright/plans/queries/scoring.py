@@ -8,6 +8,7 @@ from panelwright.functions import probability as M, rates as D
 from panelwright.operators import aggregates as A, metrics as E, ranking as K
 from panelwright.operators.windows import Expanding, Rolling, add_prior, rolling_features
 from panelwright.plans.registry import query
+from panelwright.semantics import persisted
 from panelwright.plans.standins import PLAYER, PM, RUNS, TEAM, TM, player_match, run_results, table, team_match
 
 
@@ -305,7 +306,7 @@ _STATE = """, gc AS (SELECT a.*, b.goals + a.own_goal AS goals_conceded, b.shots
 def _venue(spark, sf):
     from panelwright.operators.windows import conditional_expanding
 
-    gc = A.goals_conceded(team_match(spark, sf))
+    gc = A.goals_conceded(persisted(team_match(spark, sf), "sides"))
     tm = add_prior(
         gc, TEAM.within("season"), [Expanding("goals_conceded", "season_conceded", "avg"), Expanding("goals", "season_goals", "avg")]
     )
@@ -354,7 +355,7 @@ def _matchup(spark, sf):
     last = tm.agg(F.max("d")).scalar()
     fx = tm.where(F.col("d") == last).select("match_id", "team_no", "opp_no", "is_home")
     state = latest_team_state(tm, TEAM)
-    rates = A.season_rates(team_match(spark, sf), "team_no", F.col("season") == gc.agg(F.max("season")).scalar(), ["goals"])
+    rates = A.season_rates(gc, "team_no", F.col("season") == gc.agg(F.max("season")).scalar(), ["goals"])
     out = matchup_rows(state, rates, fx, A.league_mean(gc, "goals_conceded"))
     return out.select(
         "match_id", "team_no", r6("prior_lambda"), r6("naive_cs_prob"), r6("conceded_x_opp"), r6("conceded_div_opp")

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # rows already placed by player may be joined on (player, season, gameweek) as they lie
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -48,6 +48,17 @@ def test_blocks_equal_single_pass(spark, block_rows, seed):
     assert cut.columns == plain.columns
 
 
+@pytest.mark.parametrize("block_rows", [3, 10_000])
+def test_finer_windows_in_one_call(spark, block_rows):
+    df = frame(spark)
+    panel = Panel(("e",), ("p", "id"), ("p",), block_rows)
+    inner = [Expanding("x", "season_total", within=("p",)), Rolling("x", 2, "season_r2", within=("p",))]
+    both = add_prior(df, panel, [*FEATS, *inner], sizes=df.select("e", "p"))
+    cols = [f.out for f in [*FEATS, *inner]]
+    twice = add_prior(add_prior(df, Panel(("e",), ("p", "id")), FEATS), Panel(("e", "p"), ("p", "id")), [Expanding("x", "season_total"), Rolling("x", 2, "season_r2")])
+    assert result(both, cols) == result(twice, cols)
+
+
 def test_python_reference(spark):
     rows = sorted((r.e, r.p, r.id, r.x) for r in frame(spark).collect())
     want = {}
