@@ -234,14 +234,16 @@ def unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     return left.join(right.select(*keys), list(keys), "left_anti")
 
 
-def resolve_matches(ext: DataFrame, fx: DataFrame, aliases: DataFrame, match: str = "match_id") -> DataFrame:
+def resolve_matches(
+    ext: DataFrame, fx: DataFrame, aliases: DataFrame, match: str = "match_id", context: Sequence[str] = ("season",)
+) -> DataFrame:
     """Match ids for externally listed fixtures, by canonical names of both sides."""
 
     def named(df: DataFrame) -> DataFrame:
         return canonical(canonical(df, "home_team", aliases, "__h"), "away_team", aliases, "__a")
 
-    right = named(fx).select(match, "season", "__h", "__a")
-    return named(ext).join(right, ["season", "__h", "__a"]).drop("__h", "__a")
+    keys = [*context, "__h", "__a"]
+    return named(ext).join(named(fx).select(match, *keys), keys).drop("__h", "__a")
 
 
 def score_distinct(df: DataFrame, keys: Sequence[str], scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:

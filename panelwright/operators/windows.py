@@ -302,6 +302,7 @@ def tail_mean(df: DataFrame, panel: Panel, cols: Sequence[str], n: int, min_rows
 def ewm_prior(df: DataFrame, panel: Panel, col: str, span: int, out: str) -> DataFrame:
     """Exponentially weighted mean of earlier rows, adjusted weights, nulls age.
 
+    Meant for panels with one row per entity and period (team matches).
     A null row leaves the ratio of the two weighted sums as it was, so the
     mean is needed on rows with a value only and then carried forward. There
     the values further back than ``depth`` rows weigh less than one double
@@ -329,6 +330,7 @@ def conditional_expanding(
 ) -> DataFrame:
     """Season-to-date mean over rows of the same venue as this row.
 
+    Meant for panels with one row per entity and period (team matches).
     Adds ``<c>_here`` (mean at this row's venue, else the overall season mean
     named in ``fallback``), ``<c>_yes`` and ``<c>_no`` (latest known mean at
     either venue, carried forward).

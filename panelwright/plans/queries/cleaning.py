@@ -303,11 +303,11 @@ def _concat_group(spark, sf):
     "q_parse_ts",
     """WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'no date ' || o_orderkey
         ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS raw FROM orders)
-    SELECT o_orderkey, epoch_ms(TRY_CAST(raw AS TIMESTAMP)) // 1000 AS parsed FROM s""",
+    SELECT o_orderkey, strftime(TRY_CAST(raw AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS parsed FROM s""",
 )
 def _parse_ts(spark, sf):
     raw = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("no date "), F.col("o_orderkey").cast("string"))).otherwise(
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
     )
     df = table(spark, sf, "orders").select("o_orderkey", raw.alias("raw"))
-    return df.select("o_orderkey", F.unix_timestamp(T.parse_ts("raw")).alias("parsed"))
+    return df.select("o_orderkey", F.date_format(T.parse_ts("raw"), "yyyy-MM-dd HH:mm:ss").alias("parsed"))

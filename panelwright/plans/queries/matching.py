@@ -255,13 +255,13 @@ def _unmatched(spark, sf):
     "q_resolve_matches",
     FX
     + """SELECT a.season, a.round, a.home_team, a.away_team, b.match_id
-    FROM (SELECT DISTINCT season, round, home_team, away_team FROM fx WHERE round <= 2) AS a
-    JOIN fx AS b ON a.season = b.season AND lower(a.home_team) = lower(b.home_team) AND lower(a.away_team) = lower(b.away_team)""",
+    FROM (SELECT DISTINCT season, round, home_team, away_team FROM fx) AS a
+    JOIN fx AS b ON a.season = b.season AND a.round = b.round AND lower(a.home_team) = lower(b.home_team) AND lower(a.away_team) = lower(b.away_team)""",
 )
 def _resolve_matches(spark, sf):
     fx = fixtures(spark, sf)
-    ext = fx.where("round <= 2").select("season", "round", "home_team", "away_team").distinct()
-    out = J.resolve_matches(ext, fx, aliases(spark, sf))
+    ext = fx.select("season", "round", "home_team", "away_team").distinct()
+    out = J.resolve_matches(ext, fx, aliases(spark, sf), context=["season", "round"])
     return out.select("season", "round", "home_team", "away_team", "match_id")
 
 
@@ -280,11 +280,11 @@ def _score_distinct(spark, sf):
 
 @query(
     "q_run_history",
-    RUNS + "SELECT runs.run_id, epoch_ms(started) // 1000 AS started_at, n_rows, model, score FROM runs JOIN results ON runs.run_id = results.run_id WHERE model <> '5-LOW'",
+    RUNS + "SELECT runs.run_id, strftime(started, '%Y-%m-%d %H:%M:%S') AS started_at, n_rows, model, score FROM runs JOIN results ON runs.run_id = results.run_id WHERE model <> '5-LOW'",
 )
 def _run_history(spark, sf):
     out = J.run_history(runs(spark, sf), run_results(spark, sf).where("model <> '5-LOW'"))
-    return out.select("run_id", F.unix_timestamp(F.col("started").cast("timestamp")).alias("started_at"), "n_rows", "model", "score")
+    return out.select("run_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "n_rows", "model", "score")
 
 
 # ---- set operations ------------------------------------------------------
