@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -53,19 +53,18 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder in the shared space the cluster names.
+    """A fresh folder in the shared space the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` decides. Only a local master, where every task
-    sees the same disk, may fall back to the machine's temporary folder.
+    A local session without that setting gets one below its warehouse folder;
+    on a cluster it must be set.
     """
-    import uuid
-
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix=f"panelwright-{label}-")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def persisted(df: DataFrame, label: str) -> DataFrame:
