@@ -9,11 +9,10 @@ documents that share a band meet in a bucket.
 A bucket proposes a star, not all pairs: each member with the bucket's centre,
 which is the member that meets the most others over all bands. Links are
 confirmed on the full sets. A bucket whose members then lie in several
-components still may hide a link between two members that are no centre. It
-proposes another star around its next member, and once the open pairs are as
-few as the rows, all of those. So every pair that shares a band is compared,
-lies in one component already, or is ruled out by its sizes, and no bucket
-emits all its pairs at once.
+components still may hide a link between two members that are no centre, so
+its next members become centres for those outside their component, eight times
+as many in each round. In the end every pair that shares a band has been
+compared, lies in one component already, or is ruled out by its sizes.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.llm.common import U64, Words, hashed, mix64
 from panelwright.llm.components import components
@@ -152,24 +151,12 @@ def _similar_size(a, b, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, used: DataFrame) -> tuple[DataFrame, int, int]:
-    """Members of buckets that span several components, without centres that met all others; rows and open pairs."""
-    named = (
-        members.join(labels.withColumnRenamed("label", "comp"), "node", "left")
-        .withColumn("comp", F.coalesce("comp", "node"))
-        .join(used, ["key", "node"], "left_anti")
-    )
-    parts = named.groupBy("key", "comp").count()
-    several = (
-        parts.groupBy("key")
-        .agg(F.count("*").alias("c"), F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        .where("c > 1")
-    )
-    left = persisted(named.join(several.select("key"), "key"), "open")
-    n, pairs = left.count(), 0
-    if n:
-        pairs = several.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
-    return left, n, pairs
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that span several components."""
+    named = members.select("key", "node", "n", "deg").join(labels.withColumnRenamed("label", "comp"), "node", "left")
+    named = named.withColumn("comp", F.coalesce("comp", "node"))
+    several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    return named.join(several.select("key"), "key")
 
 
 def near_duplicates(
@@ -201,9 +188,9 @@ def near_duplicates(
     )
     spread = sets.select("node", "n", F.explode("bands").alias("key"))
     crowd = spread.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    met = persisted(spread.join(crowd, "key"), "buckets")
-    degree = met.groupBy("node").agg(F.sum("cnt").alias("deg"))
-    members = persisted(met.drop("cnt").join(degree, "node"), "members")
+    crowded = persisted(spread.join(crowd, "key"), "buckets")
+    degree = crowded.groupBy("node").agg(F.sum("cnt").alias("deg"))
+    members = persisted(crowded.drop("cnt").join(degree, "node"), "members")
     texts = persisted(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         .join(degree.select(F.col("node").alias("id")), "id", "left_semi")
@@ -211,37 +198,27 @@ def near_duplicates(
         .agg(F.min("text").alias("text")),
         "texts",
     )
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    used = spark.createDataFrame([], "key long, node long")
-    labels = spark.createDataFrame([], "node long, label long")
-    left, n, pairs = members, None, None
-    while n is None or n:
-        if pairs is not None and pairs <= 4 * n:
-            x, y = left.alias("x"), left.alias("y")
-            ahead = x.join(y, F.col("x.key") == F.col("y.key")).where("x.node < y.node and x.comp != y.comp")
-            tried = ahead.where(_similar_size(F.col("x.n"), F.col("y.n"), percent)).select(
-                F.col("x.node").alias("a"), F.col("y.node").alias("b")
-            )
-            n = 0
-        else:
-            top = left.groupBy("key").agg(F.max(F.struct("deg", -F.col("node"), "n")).alias("top"))
-            top = top.select("key", (-F.col("top.col2")).alias("a"), F.col("top.n").alias("na"))
-            star = left.join(top, "key").where("node != a")
-            if "comp" in left.columns:
-                home = labels.select(F.col("node").alias("a"), F.col("label").alias("home"))
-                star = star.join(home, "a", "left").where("comp != coalesce(home, a)")
-            tried = star.where(_similar_size(F.col("n"), F.col("na"), percent)).select("a", F.col("node").alias("b"))
-            used = persisted(used.union(top.select("key", F.col("a").alias("node"))), "used")
+    links = labels = None
+    left, centres = members.withColumn("comp", F.col("node")), 1
+    while True:
+        order = Window.partitionBy("key").orderBy(F.desc("deg"), "node")
+        top = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centres)
+        top = persisted(top.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "comp", "deg"))), "centres")
+        tried = (
+            left.join(top, "key")
+            .where("comp != comp_a and (deg < deg_a or (deg = deg_a and node > node_a))")
+            .where(_similar_size(F.col("n"), F.col("n_a"), percent))
+            .select(F.col("node_a").alias("a"), F.col("node").alias("b"))
+        )
         found = persisted(_confirmed(tried.distinct(), texts, k, percent), "links")
-        links = links.union(found)
-        if found.isEmpty():
-            if n == 0:
-                break
-        else:
+        if labels is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
             labels = persisted(components(links), "labels")
-        if n != 0:
-            left, n, pairs = _open_pairs(members, labels, used)
+        met = top.select("key", F.col("node_a").alias("node"))
+        rest = persisted(_unsettled(left.join(met, ["key", "node"], "left_anti"), labels), "open")
+        if rest.isEmpty():
+            break
+        left, centres = rest, centres * 8
     whole = sets.select("d1", "d2", "node").join(labels, "node", "left")
     whole = whole.select("d1", "d2", F.coalesce("label", "node").alias("component"))
     own = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
