@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import decontaminate, dedup, toxicity
+from panelwright.llm import decontaminate, dedup, mixing, toxicity
 from panelwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,43 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_decontaminate")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+MIX_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || '|mix'), 1, 4))::INTEGER AS u
+  FROM documents),
+sized AS (SELECT source, sum(size)::BIGINT AS s FROM docs GROUP BY source),
+weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM sized),
+filled AS (
+  SELECT *, sum(s) OVER () - 3 * coalesce(sum(s) OVER lower, 0) AS room, sum(w) OVER () - coalesce(sum(w) OVER lower, 0) AS share
+  FROM weighed WINDOW lower AS (ORDER BY 3.0::DOUBLE * s / w, w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT first(room ORDER BY 3.0::DOUBLE * s / w, w, source)::DOUBLE AS room, first(share ORDER BY 3.0::DOUBLE * s / w, w, source)::DOUBLE AS share
+  FROM filled WHERE w * room <= 3 * s * share),
+aimed AS (
+  SELECT source, s, CASE WHEN w * level.room > 3 * s * level.share THEN (3 * s)::DOUBLE ELSE w::DOUBLE * level.room / level.share END AS target
+  FROM weighed, level),
+rated AS (
+  SELECT *, CASE WHEN s > 0 THEN floor(target / s)::BIGINT ELSE 0 END AS whole FROM aimed),
+steps AS (SELECT source, u, sum(sum(size)) OVER (PARTITION BY source ORDER BY u)::BIGINT AS upto FROM docs GROUP BY source, u),
+near AS (
+  SELECT r.source, first(target - whole * s) AS want, min({'d': abs(upto - (target - whole * s)), 'u': u}) AS b
+  FROM steps JOIN rated r ON steps.source IS NOT DISTINCT FROM r.source GROUP BY r.source),
+cuts AS (SELECT source, CASE WHEN want > b.d THEN b.u + 1 ELSE 0 END AS cut FROM near)
+SELECT docs.doc_id, docs.size, r.s AS source_size, r.target,
+       (docs.size * (r.whole + CASE WHEN docs.u < c.cut THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM docs JOIN rated r ON docs.source IS NOT DISTINCT FROM r.source JOIN cuts c ON docs.source IS NOT DISTINCT FROM c.source
+"""
+
+
+@_query("op3_mixing", MIX_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.counted(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.col("mix_size").alias("size"),
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
+    )
