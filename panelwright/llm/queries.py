@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import decontaminate, dedup, mixing, toxicity
+from panelwright.llm import decontaminate, dedup, mixing, pii, toxicity
 from panelwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("mix_target").alias("target"),
         (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
     )
+
+
+@_query("op1_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.found(table(spark, sf_dir, "documents"))
+    ranks = F.transform("pii_base", lambda s: s["rank"])
+    counts = [
+        (F.size(ranks) - F.size(F.array_remove(ranks, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)
+    ]
+    return out.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.span_text(F.col("pii_base")), 256).alias("base_sha256"),
+        pii.span_text(F.col("pii_spans")).alias("spans"),
+    )
