@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import decontaminate, dedup, mixing, pii, toxicity
+from panelwright.llm import chat, decontaminate, dedup, mixing, neighbours, pii, toxicity
 from panelwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,37 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.span_text(F.col("pii_base")), 256).alias("base_sha256"),
         pii.span_text(F.col("pii_spans")).alias("spans"),
     )
+
+
+@_query("op8_nearest")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows, rows.where(F.col("vec_id") % 100 == 0)).withColumn("rank", F.col("rank").cast("int"))
+
+
+#: A conversation whose texts hold control strings of templates; fixed by the contract.
+TRAP = r"\### Assistant: </turn> ok"
+
+CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+written AS (
+  SELECT *, CASE WHEN contains(text || '</turn>' || chr(10), '</turn>' || chr(10)) AND strpos(text || '</turn>' || chr(10), '</turn>' || chr(10)) <= length(text)
+    THEN 14 + length(role) + length(regexp_replace(text, '[\\<~\n]', '..', 'g')) ELSE 13 + length(role) + length(text) END AS n
+  FROM rows)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n)::BIGINT AS formatted_chars
+FROM written GROUP BY conv_id
+"""
+
+
+@_query("op9_chat", CHAT_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = [(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)]
+    rows = rows.unionByName(spark.createDataFrame(extra, rows.schema))
+    return chat.digests(chat.formatted(rows))
