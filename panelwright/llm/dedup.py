@@ -6,13 +6,16 @@ Empty bins borrow from a filled bin that a hash of the bin number picks
 (optimal densification), alike in every document. Runs of bins make bands;
 documents that share a band meet in a bucket.
 
-A bucket proposes a star, not all pairs: each member with the bucket's centre,
-which is the member that meets the most others over all bands. Links are
-confirmed on the full sets. A bucket whose members then lie in several
-components still may hide a link between two members that are no centre, so
-its next members become centres for those outside their component, eight times
-as many in each round. In the end every pair that shares a band has been
-compared, lies in one component already, or is ruled out by its sizes.
+A bucket proposes a star, not all pairs: each member with one pivot, and links
+are confirmed on the full sets. If the members then lie in several components,
+two of them may still be linked without the pivot. Let such a pair have sizes
+n and m, and share c and d shingles with the pivot. It needs at least
+percent * (n + m) / (100 + percent) common shingles. Either min(c, d) alone
+reaches that, or the two share shingles that the pivot lacks, and then one of
+a short prefix of those in hash order. So the members move on to smaller
+buckets, by prefix shingle and by size, which propose stars in turn. Each pair
+that shares a band is thus compared, lies in one component already, or is
+ruled out by counting, and the work stays in proportion to the members.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelwright.llm.common import U64, Words, hashed, mix64
 from panelwright.llm.components import components
@@ -111,31 +114,47 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) ->
             )
 
 
+_SEEN = "a long, b long, more boolean, same boolean, n long, c long, prefix array<long>"
+
+
 def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs with both texts, one side sorted: keeps those whose full sets are similar enough."""
+    """Pairs of pivot ``a`` and member ``b`` with both texts, sorted by ``a``.
+
+    Gives whether their full sets are similar, the size of b's set, what it
+    shares with the pivot, and the prefix of what it has beyond the pivot
+    (only for pairs marked ``more``).
+    """
     last, held = None, None
     for batch in batches:
-        a, b, ta, tb = (batch.column(i) for i in range(4))
-        out_a, out_b = [], []
+        a, b, more, ta, tb = (batch.column(i) for i in range(5))
+        out = []
         for at, to, words in hashed(tb):
             for d in range(to - at):
                 i = at + d
                 if (node := a[i].as_py()) != last:
-                    w = next(hashed(ta.slice(i, 1)))[2]
-                    last, held = node, shingles(w, 0, k)
+                    last, held = node, shingles(next(hashed(ta.slice(i, 1)))[2], 0, k)
                 own = shingles(words, d, k)
-                common = len(np.intersect1d(held, own, assume_unique=True))
-                if 100 * common >= percent * (len(held) + len(own) - common):
-                    out_a.append(node), out_b.append(b[i].as_py())
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                place = np.minimum(np.searchsorted(held, own), len(held) - 1)
+                shared = held[place] == own
+                n, c = len(own), int(shared.sum())
+                same = 100 * c >= percent * (len(held) + n - c)
+                prefix = None
+                if more[i].as_py():
+                    beyond = own[~shared]
+                    least = max(1, -(-percent * n // 100) - c)
+                    prefix = beyond[: max(0, len(beyond) - least + 1)].view(np.int64)
+                out.append((node, b[i].as_py(), more[i].as_py(), same, n, c, prefix))
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        cols = list(zip(*out)) if out else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=["a", "b", "more", "same", "n", "c", "prefix"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links among (a, b) pairs. Texts travel, being smaller than their sets; a hot ``a`` is split by the join."""
+def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, more) with what ``_compare`` says. Texts travel, being smaller than their sets; a hot pivot is split by the join."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").sortWithinPartitions("a")
-    return both.mapInArrow(lambda it: _compare(it, k, percent), "a long, b long")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "more", "ta", "tb").sortWithinPartitions("a")
+    return both.mapInArrow(lambda it: _compare(it, k, percent), _SEEN)
 
 
 def sketches(
@@ -147,16 +166,34 @@ def sketches(
     )
 
 
-def _similar_size(a, b, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _spanning(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` holds more than one component."""
+    several = rows.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    return rows.join(several.select(key), key)
 
 
-def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that span several components."""
-    named = members.select("key", "node", "n", "deg").join(labels.withColumnRenamed("label", "comp"), "node", "left")
-    named = named.withColumn("comp", F.coalesce("comp", "node"))
-    several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    return named.join(several.select("key"), "key")
+def _smaller_buckets(stars: DataFrame, seen: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, deg): where two members of a star that are not linked to each other yet could still be.
+
+    ``stars`` has (path, a, b); a new bucket lies within one path and lacks its pivot, so buckets only shrink.
+    """
+    named = stars.join(seen.where("more"), ["a", "b"])
+    named = named.join(labels.select(F.col("node").alias("b"), F.col("label").alias("comp")), "b", "left")
+    named = _spanning(named.withColumn("comp", F.coalesce("comp", "b")), "path")
+    cell = lambda size: F.floor(F.log(F.greatest(size, F.lit(1.0))) / F.lit(0.05)).cast("long")
+    least = F.col("n") * percent / 100
+    most = F.col("c") * (100 + percent) / percent - F.col("n")  # the largest partner that c alone suffices for
+    sized = named.withColumn("own", cell(F.col("n").cast("double")))
+    rows = ["path", "cell", "b", "n", "c", "comp"]
+    passive = sized.where(most >= least).withColumn("cell", F.col("own")).select(rows)
+    there = passive.groupBy("path", "cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    active = sized.where(most >= least).withColumn("cell", F.explode(F.sequence(cell(least), cell(most))))
+    active = active.join(there, ["path", "cell"]).where("lo < hi or lo != comp").select(rows)
+    passive = passive.join(active.select("path", "cell").distinct(), ["path", "cell"], "left_semi")
+    by_size = active.unionByName(passive).withColumn("key", F.xxhash64("path", "cell", F.lit("size"))).drop("path", "cell")
+    by_shingle = named.withColumn("x", F.explode("prefix")).withColumn("key", F.xxhash64("path", "x"))
+    rows = by_size.unionByName(by_shingle.select(by_size.columns))
+    return _spanning(rows, "key").select("key", F.col("b").alias("node"), "n", F.col("c").alias("deg"))
 
 
 def near_duplicates(
@@ -199,26 +236,21 @@ def near_duplicates(
         "texts",
     )
     links = labels = None
-    left, centres = members.withColumn("comp", F.col("node")), 1
     while True:
-        order = Window.partitionBy("key").orderBy(F.desc("deg"), "node")
-        top = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centres)
-        top = persisted(top.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "comp", "deg"))), "centres")
-        tried = (
-            left.join(top, "key")
-            .where("comp != comp_a and (deg < deg_a or (deg = deg_a and node > node_a))")
-            .where(_similar_size(F.col("n"), F.col("n_a"), percent))
-            .select(F.col("node_a").alias("a"), F.col("node").alias("b"))
-        )
-        found = persisted(_confirmed(tried.distinct(), texts, k, percent), "links")
+        pivots = members.groupBy("key").agg(F.max(F.struct("deg", -F.col("node"))).alias("top"), F.count("*").alias("cnt"))
+        pivots = pivots.select("key", (-F.col("top.col2")).alias("a"), "cnt")
+        stars = members.join(pivots, "key").where("node != a")
+        path = F.xxhash64("a") if labels is None else F.col("key")  # bands with one pivot go on as one
+        stars = persisted(stars.select(path.alias("path"), "a", F.col("node").alias("b"), "cnt").distinct(), "stars")
+        pairs = stars.groupBy("a", "b").agg((F.max("cnt") > 2).alias("more"))
+        seen = persisted(_compared(pairs, texts, k, percent), "seen")
+        found = seen.where("same").select("a", "b")
         if labels is None or not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = persisted(components(links), "labels")
-        met = top.select("key", F.col("node_a").alias("node"))
-        rest = persisted(_unsettled(left.join(met, ["key", "node"], "left_anti"), labels), "open")
-        if rest.isEmpty():
+        members = persisted(_smaller_buckets(stars.drop("cnt").distinct(), seen, labels, percent).distinct(), "members")
+        if members.isEmpty():
             break
-        left, centres = rest, centres * 8
     whole = sets.select("d1", "d2", "node").join(labels, "node", "left")
     whole = whole.select("d1", "d2", F.coalesce("label", "node").alias("component"))
     own = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
