@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import chat, decontaminate, dedup, mixing, neighbours, pii, toxicity
+from panelwright.llm import chat, decontaminate, dedup, mixing, neighbours, pages, pii, toxicity
 from panelwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = [(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)]
     rows = rows.unionByName(spark.createDataFrame(extra, rows.schema))
     return chat.digests(chat.formatted(rows))
+
+
+@_query("op10_pages")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pages.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
