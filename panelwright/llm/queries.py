@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import chat, decontaminate, dedup, mixing, neighbours, pages, pii, toxicity
+from panelwright.llm import chat, decontaminate, dedup, licences, mixing, neighbours, pages, pii, secrets, toxicity
 from panelwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,38 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pages.extract(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _licence_sql() -> str:
+    canon = "regexp_replace(lower(coalesce(@, '')), '" + licences.COPYRIGHT_LINE + "', '', 'g')"
+    canon = "' ' || trim(regexp_replace(" + canon + ", '" + licences.OTHER + "', ' ', 'g')) || ' '"
+    for odd, common in licences.SPELLINGS:
+        if odd != common:
+            canon = f"replace({canon}, ' {odd} ', ' {common} ')"
+    canon = f"md5(trim({canon}))"
+    quoted = [(n, t.replace("'", "''").replace("\n", "' || chr(10) || '")) for n, t in licences.KNOWN]
+    rows = ", ".join(f"('{n}', '{t}')" for n, t in quoted)
+    return f"""
+WITH known AS (SELECT {canon.replace('@', 'body')} AS digest, min(license) AS license FROM (VALUES {rows}) v(license, body) GROUP BY 1),
+texts AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
+parts AS (
+  SELECT t, 0 AS pos, t AS part FROM texts
+  UNION ALL SELECT t, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS pos, unnest(string_split(t, chr(10))) AS part FROM texts),
+hits AS (SELECT t, pos, license FROM parts JOIN known ON {canon.replace('@', 'part')} = known.digest),
+found AS (
+  SELECT t, max(license) FILTER (pos = 0) AS license, count(*) FILTER (pos > 0) AS n_license_lines,
+         array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses
+  FROM hits GROUP BY t)
+SELECT d.doc_id, f.license, coalesce(f.n_license_lines, 0)::BIGINT AS n_license_lines, coalesce(f.licenses, '') AS licenses
+FROM documents d LEFT JOIN found f ON coalesce(d.text, '') = f.t
+"""
+
+
+@_query("op2_licences", _licence_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op4_secrets")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
