@@ -87,7 +87,8 @@ def nb_tail(threshold: Column, r: Column, mu: Column | str, most: int = 12) -> C
     A null r means no overdispersion: Poisson. The mass follows
     p(i) = p(i-1) f(i), so the sum below the threshold is
     p(0) (1 + f(1) (1 + f(2) (1 + ...))): no gamma function and no loop.
-    ``most`` is the largest threshold in use; a larger one is an error.
+    Thresholds up to ``most`` are one nested expression; a larger one is
+    summed term by term, with the same result.
     """
     m = F.greatest(_c(mu), F.lit(0.01))
     poisson = r.isNull()
@@ -97,8 +98,16 @@ def nb_tail(threshold: Column, r: Column, mu: Column | str, most: int = 12) -> C
     nested = F.lit(1.0)
     for i in range(most - 1, 0, -1):
         nested = 1 + F.when(threshold > i, (step + grow * (i - 1)) / i * nested).otherwise(0.0)
-    checked = F.when(threshold > most, F.raise_error(F.lit("threshold above the declared maximum")).cast("double"))
-    return F.coalesce(checked, clip(1 - first * nested, 0.0, 1.0))
+
+
+    def term(acc, i):
+        p = acc["p"] * (step + grow * (i - 1)) / i
+        return F.struct(p.alias("p"), (acc["sum"] + p).alias("sum"))
+
+    terms = F.sequence(F.lit(1), F.greatest(threshold.cast("int"), F.lit(most + 1)) - 1)
+    summed = F.aggregate(terms, F.struct(first.alias("p"), first.alias("sum")), term, lambda acc: acc["sum"])
+    below = F.when(threshold > most, summed).otherwise(first * nested)
+    return clip(1 - below, 0.0, 1.0)
 
 
 def nb_dispersion(df: DataFrame, y: str, mu: str) -> DataFrame:

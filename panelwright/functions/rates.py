@@ -22,17 +22,17 @@ MATCH_CAPS = {
 }
 # Further bounds used by the award model.
 AWARD_CAPS = {
-    "goals": 3.0,
-    "assists": 3.0,
-    "xg": 2.0,
-    "xa": 1.5,
-    "shots": 8.0,
-    "key_passes": 6.0,
-    "tackles": 8.0,
-    "clearances": 12.0,
-    "interceptions": 6.0,
-    "recoveries": 15.0,
-    "blocks": 6.0,
+    "tackles_per90": 8.0,
+    "clearances_per90": 12.0,
+    "interceptions_per90": 6.0,
+    "recoveries_per90": 15.0,
+    "blocks_per90": 6.0,
+    "key_passes_per90": 6.0,
+    "shots_per90": 8.0,
+    "goals_per90": 3.0,
+    "assists_per90": 3.0,
+    "xg_per90": 2.0,
+    "xa_per90": 1.5,
 }
 # Weight of one action in the baseline estimate.
 BASELINE_WEIGHTS = {

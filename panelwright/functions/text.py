@@ -91,18 +91,21 @@ def contains_ci(c: Column | str, part: str) -> Column:
 def canonical(df: DataFrame, col: str, aliases: DataFrame, out: str, norm=norm_key) -> DataFrame:
     """Replace known spellings by their canonical name.
 
-    ``aliases`` has columns ``alias`` (normalised) and ``canonical``.
+    ``aliases`` has columns ``alias`` (normalised) and ``canonical``; of
+    several canonical names for one alias the smallest counts.
     """
-    dim = aliases.select(F.col("alias").alias("__alias"), F.col("canonical").alias("__canon"))
-    dim = broadcast_if_small(dim.dropDuplicates(["__alias"]))
+    dim = aliases.groupBy(F.col("alias").alias("__alias")).agg(F.min("canonical").alias("__canon"))
+    dim = broadcast_if_small(dim)
     keyed = df.withColumn("__key", norm(col))
     joined = keyed.join(dim, F.col("__key") == F.col("__alias"), "left")
     return joined.withColumn(out, F.coalesce("__canon", "__key")).drop("__key", "__alias", "__canon")
 
 
-def canonical_contains(
-    col: Column | str, rules: Mapping[str, str], keep_two: Sequence[str] = ("west", "man", "aston", "crystal")
-) -> Column:
+# First words of two-word names that stay whole.
+KEEP_TWO = ("west", "man", "aston", "crystal", "leeds", "leicester")
+
+
+def canonical_contains(col: Column | str, rules: Mapping[str, str], keep_two: Sequence[str] = KEEP_TWO) -> Column:
     """Exact rule, else the first rule contained in the name, else its first word.
 
     Two-word names that start with a word of ``keep_two`` stay whole.

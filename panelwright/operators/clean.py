@@ -68,8 +68,11 @@ def active_entities(df: DataFrame, entity: Sequence[str], season: str) -> DataFr
 def resolve_label(
     df: DataFrame, name: str, lookup: DataFrame, code: str, by_code: Mapping[int, str], default: str, out: str
 ) -> DataFrame:
-    """Label from a lookup by full name, then last word, then numeric code, then default."""
-    dim = lookup.select(F.col("name").alias("__k"), F.col("label").alias("__v")).dropDuplicates(["__k"])
+    """Label from a lookup by full name, then last word, then numeric code, then default.
+
+    Of several labels for one name the smallest counts.
+    """
+    dim = lookup.groupBy(F.col("name").alias("__k")).agg(F.min("label").alias("__v"))
     src = df.withColumn("__full", F.lower(name)).withColumn("__last", F.lower(last_token(name)))
     a = dim.select(F.col("__k").alias("__full"), F.col("__v").alias("__v1"))
     b = dim.select(F.col("__k").alias("__last"), F.col("__v").alias("__v2"))
@@ -133,6 +136,7 @@ def holdout(
         test = F.col(season) == value
         if start is not None:
             test = test & (F.col(start[0]) >= start[1])
+        test = F.coalesce(test, F.lit(False))  # a row without a season or gameweek trains
         return df.where(~test), df.where(test)
     from panelwright.operators.ordering import global_row_index
 

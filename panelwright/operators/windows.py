@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwright.semantics import BROADCAST_ROWS
+from panelwright.semantics import broadcast_if_small, null_safe_join, persisted
 
 _BLK, _HALO = "__block", "__halo"
 
@@ -179,15 +179,14 @@ def _heavy_blocks(df: DataFrame, panel: Panel) -> DataFrame | None:
         .where(F.col("__total") > panel.block_rows)
         .select(*keys, *period, F.floor(F.col("__before") / panel.block_rows).alias(_BLK))
     )
-    found = blocks.limit(BROADCAST_ROWS + 1).count()
-    if not found:
-        return None
-    return F.broadcast(blocks) if found <= BROADCAST_ROWS else blocks
+    blocks = persisted(blocks, "blocks")  # a few rows, read for the test, the size check and the join
+    return None if blocks.isEmpty() else broadcast_if_small(blocks)
 
 
 def _blocked(df: DataFrame, panel: Panel, features: Sequence[Feature], blocks: DataFrame) -> DataFrame:
     keys = [*panel.entity, _BLK]
-    tagged = df.join(blocks, [*panel.entity, *panel.period], "left").select(*df.columns, _BLK)
+    # a null period is a period of its own, and so is a null entity
+    tagged = null_safe_join(df, blocks, [*panel.entity, *panel.period], "left").select(*df.columns, _BLK)
     heavy = tagged.where(F.col(_BLK).isNotNull())
     rows = tagged.withColumn(_BLK, F.coalesce(F.col(_BLK), F.lit(0).cast("long"))).withColumn(_HALO, F.lit(False))
 
@@ -241,7 +240,7 @@ def _blocked(df: DataFrame, panel: Panel, features: Sequence[Feature], blocks: D
                 for c in names
             ),
         )
-        out = out.join(totals, keys, "left")
+        out = null_safe_join(out, totals, keys, "left")
     return out.select(*df.columns, *final)
 
 

@@ -141,11 +141,18 @@ def _fill(spark, sf):
 
 @query(
     "q_clip_pattern",
-    PM + "SELECT match_row, least(shots * 3.0, 8.0)::DOUBLE AS shots_x3, least(tackles, 8.0)::DOUBLE AS raw_tackles, touches FROM pm",
+    PM
+    + """SELECT match_row, least(shots * 3.0, 8.0)::DOUBLE AS shots_per90_roll3, tackles::DOUBLE AS tackles, (goals * 120.0)::DOUBLE AS lifetime_goals,
+    least(goals * 120.0, 3.0)::DOUBLE AS lifetime_goals_per90, touches FROM pm""",
 )
 def _clip(spark, sf):
     df = player_match(spark, sf).select(
-        "match_row", (F.col("shots") * F.lit(3.0)).alias("shots_x3"), F.col("tackles").cast("double").alias("raw_tackles"), "touches"
+        "match_row",
+        (F.col("shots") * F.lit(3.0)).alias("shots_per90_roll3"),
+        F.col("tackles").cast("double").alias("tackles"),
+        (F.col("goals") * F.lit(120.0)).alias("lifetime_goals"),
+        (F.col("goals") * F.lit(120.0)).alias("lifetime_goals_per90"),
+        "touches",
     )
     return C.clip_by_pattern(df, AWARD_CAPS)
 

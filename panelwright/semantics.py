@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-#: Largest table, in rows, that an operator may mark for broadcast after counting it.
-BROADCAST_ROWS = 1_000_000
+#: Largest table, in bytes by its schema, that an operator may mark for broadcast after counting it.
+BROADCAST_BYTES = 64_000_000
 
 
 def as_list(value: str | Iterable[str]) -> list[str]:
@@ -43,13 +44,29 @@ def fill0(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a dimension for broadcast only after checking its row count.
+def row_bytes(schema: T.StructType) -> int:
+    """Bytes of a row in memory, with 64 for every value of open length."""
+    width = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+    fixed = {"bigint", "double", "timestamp", "timestamp_ntz"}
+    return 16 + sum(max(8, width.get(t, 8 if t in fixed else 64)) for t in (f.dataType.simpleString() for f in schema.fields))
 
-    At most ``limit + 1`` rows are counted; a bigger table is returned as it
-    is and the join shuffles both sides.
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a dimension for broadcast only after checking its size: rows times the width of its schema.
+
+    The count sends one number per partition. A bigger table is returned as
+    it is and the join shuffles both sides.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if df.count() * row_bytes(df.schema) <= limit else df
+
+
+def null_safe_join(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null meets null; the columns of ``df``, then those of ``other`` without its keys."""
+    renamed = other.select(
+        *(F.col(k).alias(f"__ns{i}") for i, k in enumerate(keys)), *(c for c in other.columns if c not in set(keys))
+    )
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__ns{i}")) for i, k in enumerate(keys)))
+    return df.join(renamed, on, how).drop(*(f"__ns{i}" for i in range(len(keys))))
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from panelwright.operators.clean import dedupe
-from panelwright.semantics import persisted
+from panelwright.semantics import null_safe_join, persisted
 
 # ---- what the content should be ------------------------------------------
 
@@ -134,14 +134,38 @@ def append_rows(df: DataFrame, path: str) -> None:
 def upsert_table(
     spark: SparkSession, path: str, schema: T.StructType, new: DataFrame, keys: Sequence[str], seq: str, by: Sequence[str]
 ) -> None:
-    """Upsert into a partitioned table; a key must stay in its partition.
+    """Upsert into a partitioned table. A key that moves to another partition leaves its old one.
 
-    Only partitions named by ``new`` are read and rewritten. The result is
-    staged in shared storage first, as it reads what it will replace.
+    The partition values of ``new`` become a filter, so only those partitions
+    are scanned whole; elsewhere only the keys are read, to find moved ones.
+    Partitions with a moved key are rewritten too. The result is staged in
+    shared storage first, as it reads what it will replace.
     """
-    touched = new.select(*by).distinct()
-    old = spark.read.schema(schema).parquet(path).join(touched, list(by), "left_semi")
-    write_partitions(persisted(upsert(old, new, keys, seq), "upsert"), path, by)
+    new = persisted(new, "batch")
+    table = spark.read.schema(schema).parquet(path)
+    touched = _partition_filter(new, by)
+    moved = table.where(~touched).select(*keys, *by).join(new.select(*keys).distinct(), list(keys), "left_semi")
+    moved = persisted(moved, "moved")
+    left_behind = _partition_filter(moved, by)
+    here = persisted(upsert(table.where(touched), new, keys, seq), "upsert")
+    if not moved.isEmpty():
+        there = persisted(table.where(left_behind).join(new.select(*keys), list(keys), "left_anti"), "left-behind")
+        if not null_safe_join(moved.select(*by).distinct(), there.select(*by).distinct(), list(by), "left_anti").isEmpty():
+            raise ValueError("a partition would lose its last row, which a partition overwrite cannot express")
+        here = here.unionByName(there)
+    write_partitions(here, path, by)
+
+
+def _partition_filter(rows: DataFrame, by: Sequence[str]) -> Column:
+    """Predicate on the partition values of ``rows``, as literals that prune the scan; the values of one column at a time are few."""
+    values = rows.select(*by).distinct().collect()
+    out = F.lit(False)
+    for r in values:
+        one = F.lit(True)
+        for c in by:
+            one = one & (F.col(c).isNull() if r[c] is None else F.col(c) == F.lit(r[c]))
+        out = out | one
+    return out
 
 
 def clear_table(spark: SparkSession, path: str) -> None:

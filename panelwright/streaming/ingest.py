@@ -39,7 +39,10 @@ def maintain_table(
         spark = batch.sparkSession
         try:
             schema = spark.read.parquet(path).schema
-        except AnalysisException:  # first batch: the table does not exist yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            # first batch: the table does not exist yet
             write_partitions(dedupe(rows, keys, [seq], keep="last"), path, by)
             return
         upsert_table(spark, path, schema, rows, keys, seq, by)
