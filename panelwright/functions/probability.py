@@ -81,33 +81,34 @@ def expected_floor(lam: Column | str, per: int = 2, upto: int = 10) -> Column:
     return -(tail + F.exp(-_c(lam)) * poly)
 
 
-def nb_tail(threshold: Column, r: Column, mu: Column | str, most: int = 12) -> Column:
+def nb_tail(threshold: Column, r: Column, mu: Column | str, most: int | None = None) -> Column:
     """P(X >= threshold) of a negative binomial with mean mu and dispersion r.
 
     A null r means no overdispersion: Poisson. The mass follows
-    p(i) = p(i-1) f(i), so the sum below the threshold is
-    p(0) (1 + f(1) (1 + f(2) (1 + ...))): no gamma function and no loop.
-    Thresholds up to ``most`` are one nested expression; a larger one is
-    summed term by term, with the same result.
+    p(i) = p(i-1) f(i). A caller that knows its largest threshold passes it as
+    ``most``: the sum below the threshold is then one nested expression,
+    p(0) (1 + f(1) (1 + f(2) (1 + ...))), that compiles well, and a larger
+    threshold is an error. Otherwise the terms are added one by one.
     """
     m = F.greatest(_c(mu), F.lit(0.01))
     poisson = r.isNull()
     step = F.when(poisson, m).otherwise(r * m / (r + m))
     grow = F.when(poisson, F.lit(0.0)).otherwise(m / (r + m))
     first = F.when(poisson, F.exp(-m)).otherwise(F.pow(r / (r + m), r))
+    if most is None:
+
+        def term(acc, i):
+            p = acc["p"] * (step + grow * (i - 1)) / i
+            return F.struct(p.alias("p"), (acc["sum"] + p).alias("sum"))
+
+        terms = F.filter(F.sequence(F.lit(1), F.greatest(threshold.cast("int"), F.lit(1))), lambda i: i < threshold)
+        below = F.aggregate(terms, F.struct(first.alias("p"), first.alias("sum")), term, lambda acc: acc["sum"])
+        return clip(1 - F.when(threshold > 0, below).otherwise(0.0), 0.0, 1.0)
     nested = F.lit(1.0)
     for i in range(most - 1, 0, -1):
         nested = 1 + F.when(threshold > i, (step + grow * (i - 1)) / i * nested).otherwise(0.0)
-
-
-    def term(acc, i):
-        p = acc["p"] * (step + grow * (i - 1)) / i
-        return F.struct(p.alias("p"), (acc["sum"] + p).alias("sum"))
-
-    terms = F.sequence(F.lit(1), F.greatest(threshold.cast("int"), F.lit(most + 1)) - 1)
-    summed = F.aggregate(terms, F.struct(first.alias("p"), first.alias("sum")), term, lambda acc: acc["sum"])
-    below = F.when(threshold > most, summed).otherwise(first * nested)
-    return clip(1 - below, 0.0, 1.0)
+    checked = F.when(threshold > most, F.raise_error(F.lit("threshold above the declared maximum")).cast("double"))
+    return F.coalesce(checked, clip(1 - first * nested, 0.0, 1.0))
 
 
 def nb_dispersion(df: DataFrame, y: str, mu: str) -> DataFrame:

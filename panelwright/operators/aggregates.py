@@ -190,7 +190,8 @@ def points_breakdown(df: DataFrame, label: str = "fpl_position", dispersion: Col
     kept = ((mins >= 60) & (gc == 0)).cast("double")
     saves = F.col("pred_saves") * (pm / 90)
     r = dispersion if dispersion is not None else F.lit(None).cast("double")
-    hit = nb_tail(F.when(pos == "DEF", 10).otherwise(12), r, "pred_defcon")
+    back_bar, other_bar = 10, 12
+    hit = nb_tail(F.when(pos == "DEF", back_bar).otherwise(other_bar), r, "pred_defcon", most=max(back_bar, other_bar))
     every = F.lit(True)
     zero = F.lit(0.0)
     rows = [
@@ -240,27 +241,23 @@ def points_breakdown(df: DataFrame, label: str = "fpl_position", dispersion: Col
         ("Red Cards", every, F.col("pred_red"), F.col("pred_red") * POINTS["red"], F.col("red"), F.col("red") * POINTS["red"]),
         ("Bonus", every, F.col("pred_bonus"), F.col("pred_bonus"), F.col("bonus"), F.col("bonus")),
     ]
-    cells = [
-        F.struct(
-            F.lit(name).alias("category"),
-            F.when(cond, d(pv)).alias("pv"),
-            d(pp).alias("pp"),
-            F.when(cond, d(av)).alias("av"),
-            d(ap).alias("ap"),
+    # one row of averages for all categories, then a row for each: input rows are not multiplied
+    values, cells = {}, []
+    for i, (name, cond, pv, pp, av, ap) in enumerate(rows):
+        for tag, value in (("pv", F.when(cond, d(pv))), ("pp", d(pp)), ("av", F.when(cond, d(av))), ("ap", d(ap))):
+            values[f"{tag}{i}"] = value
+        cells.append(
+            F.struct(
+                F.lit(name).alias("category"),
+                F.coalesce(F.col(f"pv{i}"), F.lit(0.0)).alias("pred_value_avg"),
+                F.col(f"pp{i}").alias("pred_pts_avg"),
+                F.coalesce(F.col(f"av{i}"), F.lit(0.0)).alias("actual_value_avg"),
+                F.col(f"ap{i}").alias("actual_pts_avg"),
+            )
         )
-        for name, cond, pv, pp, av, ap in rows
-    ]
-    per_category = (
-        df.where(mins >= 1)
-        .select(F.inline(F.array(*cells)))
-        .groupBy("category")
-        .agg(
-            F.coalesce(F.avg("pv"), F.lit(0.0)).alias("pred_value_avg"),
-            F.avg("pp").alias("pred_pts_avg"),
-            F.coalesce(F.avg("av"), F.lit(0.0)).alias("actual_value_avg"),
-            F.avg("ap").alias("actual_pts_avg"),
-        )
-    )
+    columns = df.where(mins >= 1).select(*(v.alias(c) for c, v in values.items()))
+    whole = columns.agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in values)).where("n > 0")
+    per_category = whole.select(F.inline(F.array(*cells)))
     diff = F.col("pred_pts_avg") - F.col("actual_pts_avg")
     total = F.grouping("category") == 1
     return (

@@ -476,8 +476,8 @@ def _nb_tail(spark, sf):
     bar = F.when(F.col("position") == 1, 10).otherwise(12)
     return pm.select(
         "match_row",
-        r6(M.nb_tail(bar, F.lit(2.5), "mu"), "nb_prob"),
-        r6(M.nb_tail(bar, F.lit(None).cast("double"), "mu"), "poisson_prob"),
+        r6(M.nb_tail(bar, F.lit(2.5), "mu", most=12), "nb_prob"),
+        r6(M.nb_tail(bar, F.lit(None).cast("double"), "mu", most=12), "poisson_prob"),
     )
 
 
