@@ -169,9 +169,17 @@ def match_report(df: DataFrame, matched: Column, positive: Column) -> DataFrame:
     )
 
 
-def compare_runs(results: DataFrame, runs: Sequence, run="run_id", model="model", score="score") -> DataFrame:
-    """Model by run table of scores; the run list is given, so no extra pass."""
-    return results.groupBy(model).pivot(run, list(runs)).agg(F.min(score))
+def compare_runs(
+    results: DataFrame, runs: DataFrame, n: int, run: str = "run_id", started: str = "started", model: str = "model", score: str = "score"
+) -> DataFrame:
+    """Model by run table of scores for the ``n`` latest runs: columns run_1 (newest) to run_n.
+
+    Finding the latest runs is a top-k; only those are numbered and joined.
+    """
+    latest = runs.select(run, started).distinct().orderBy(F.desc(started), F.desc(run)).limit(n)
+    numbered = latest.withColumn("__k", F.row_number().over(Window.orderBy(F.desc(started), F.desc(run)))).select(run, "__k")
+    chosen = results.join(numbered, run).groupBy(model)
+    return chosen.agg(*(F.min(F.when(F.col("__k") == i, F.col(score))).alias(f"run_{i}") for i in range(1, n + 1)))
 
 
 def points_breakdown(df: DataFrame, label: str = "fpl_position", dispersion: Column | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from panelwright.operators import aggregates as A, metrics as E, ranking as K
 from panelwright.operators.windows import Expanding, Rolling, add_prior, rolling_features
 from panelwright.plans.registry import query
 from panelwright.semantics import persisted
-from panelwright.plans.standins import PLAYER, PM, RUNS, TEAM, TM, player_match, run_results, table, team_match
+from panelwright.plans.standins import PLAYER, PM, RUNS, TEAM, TM, player_match, run_results, runs, table, team_match
 
 
 def r6(c, name=None):
@@ -154,12 +154,12 @@ _MODELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 @query(
     "q_pivot_runs",
     RUNS
-    + "SELECT model, "
-    + ", ".join(f'min(score) FILTER (WHERE run_id = {i}) AS "{i}"' for i in range(5))
-    + " FROM results GROUP BY model",
+    + ", latest AS (SELECT run_id, row_number() OVER (ORDER BY started DESC, run_id DESC) AS k FROM runs) SELECT model, "
+    + ", ".join(f"min(score) FILTER (WHERE k = {i}) AS run_{i}" for i in range(1, 6))
+    + " FROM results JOIN latest ON results.run_id = latest.run_id WHERE k <= 5 GROUP BY model",
 )
 def _pivot(spark, sf):
-    return A.compare_runs(run_results(spark, sf), list(range(5)))
+    return A.compare_runs(run_results(spark, sf), runs(spark, sf), 5)
 
 
 # ---- ranking -------------------------------------------------------------

@@ -337,14 +337,17 @@ def _replace(spark, sf):
     "q_run_log",
     RUNS
     + """, p AS (SELECT run_id, model, 'score<' || CAST(score AS VARCHAR) AS params FROM results WHERE model < '4'), m AS (SELECT run_id, model, score FROM results WHERE model > '2')
-    SELECT COALESCE(p.run_id, m.run_id) AS run_id, COALESCE(p.model, m.model) AS model, params IS NOT NULL AS has_params, score
-    FROM p FULL JOIN m ON p.run_id = m.run_id AND p.model = m.model""",
+    SELECT runs.run_id, n_rows, COALESCE(p.model, m.model) AS model, params IS NOT NULL AS has_params, score
+    FROM p FULL JOIN m ON p.run_id = m.run_id AND p.model = m.model JOIN runs ON runs.run_id = COALESCE(p.run_id, m.run_id)""",
 )
 def _run_log(spark, sf):
     res = run_results(spark, sf)
     params = res.where("model < '4'").select("run_id", "model", F.to_json(F.struct("score")).alias("params"))
-    _, rows = K.log_run(runs(spark, sf), params, res.where("model > '2'"))
-    return rows.select("run_id", "model", F.col("params").isNotNull().alias("has_params"), "score")
+    root, heads, scores = scratch_dir(spark, "runs"), runs(spark, sf), res.where("model > '2'")
+    for half in ("run_id < 20", "run_id >= 20"):  # two appends
+        K.append_run(heads.where(half), params.where(half), scores.where(half), root)
+    out = spark.read.parquet(f"{root}/runs").join(spark.read.parquet(f"{root}/results"), "run_id")
+    return out.select("run_id", "n_rows", "model", F.col("params").isNotNull().alias("has_params"), "score")
 
 
 @query("q_clear", RUNS + "SELECT 'results' AS name, 0::BIGINT AS n UNION ALL SELECT 'runs', count(*) FROM runs")
@@ -374,11 +377,25 @@ def _eval_store(spark, sf):
     return both.select("season", "gameweek", "matched", r6("mae_all"))
 
 
-@query("q_run_catalog", RUNS + "SELECT CAST(run_id AS VARCHAR) AS run, model, score FROM results")
+@query(
+    "q_run_catalog",
+    RUNS
+    + """SELECT CAST(runs.run_id AS VARCHAR) AS run, n_rows, model, score, CASE WHEN model < '4' THEN runs.run_id % 7 END AS depth
+    FROM runs JOIN results ON runs.run_id = results.run_id""",
+)
 def _catalog(spark, sf):
     root = scratch_dir(spark, "runs")
     res = run_results(spark, sf)
-    # one directory per run, one document per model in it
-    res.withColumns({"run": F.col("run_id"), "m": F.col("model")}).drop("run_id").write.partitionBy("run", "m").json(root)
-    schema = "model string, score double"
-    return S.read_runs(spark, f"{root}/run=*/*/*.json", schema, r"run=([^/]+)/").select("run", "model", "score")
+    # three kinds of documents per run: its header, and scores and parameters of each model
+    heads = runs(spark, sf).select(F.col("run_id").alias("run"), "n_rows")
+    scores = res.select(F.col("run_id").alias("run"), F.col("model").alias("m"), "model", "score")
+    params = scores.where("m < '4'").select("run", "m", "model", (F.col("run") % 7).alias("depth"))
+    for name, part in (("meta", heads), ("metrics", scores), ("params", params)):
+        part.write.partitionBy(*(c for c in ("run", "m") if c in part.columns)).json(f"{root}/{name}")
+    out = S.read_run_catalog(
+        spark,
+        {"meta": f"{root}/meta/run=*/*.json", "metrics": f"{root}/metrics/run=*/*/*.json", "params": f"{root}/params/run=*/*/*.json"},
+        {"meta": "n_rows long", "metrics": "model string, score double", "params": "model string, depth long"},
+        r"run=([^/]+)/",
+    )
+    return out.select("run", "n_rows", "model", "score", "depth")

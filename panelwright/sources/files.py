@@ -128,3 +128,14 @@ def read_runs(spark: SparkSession, glob: str, schema: T.StructType | str, patter
         .json(glob)
         .withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
     )
+
+
+def read_run_catalog(
+    spark: SparkSession, globs: Mapping[str, str], schemas: Mapping[str, T.StructType | str], pattern: str = r"([^/]+)/[^/]+$"
+) -> DataFrame:
+    """Runs with their model results: ``meta`` per run, ``metrics`` and ``params`` per run and model.
+
+    A model that has only one of metrics and params keeps nulls for the other, and a run without models one row.
+    """
+    meta, metrics, params = (read_runs(spark, globs[k], schemas[k], pattern) for k in ("meta", "metrics", "params"))
+    return meta.join(metrics.join(params, ["run", "model"], "full"), "run", "left")

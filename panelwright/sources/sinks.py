@@ -131,6 +131,13 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_run(header: DataFrame, params: DataFrame, metrics: DataFrame, root: str) -> None:
+    """Append a run to the tables ``runs`` and ``results`` below ``root``: results first, so that a listed run is whole."""
+    rows, results = log_run(header, params, metrics)
+    append_rows(results, f"{root}/results")
+    append_rows(rows, f"{root}/runs")
+
+
 def upsert_table(
     spark: SparkSession, path: str, schema: T.StructType, new: DataFrame, keys: Sequence[str], seq: str, by: Sequence[str]
 ) -> None:
