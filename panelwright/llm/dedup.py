@@ -13,7 +13,7 @@ n and m, and share c and d shingles with the pivot. It needs at least
 percent * (n + m) / (100 + percent) common shingles. Either min(c, d) alone
 reaches that, or the two share shingles that the pivot lacks, and then one of
 a short prefix of those in hash order. So the members move on to smaller
-buckets, by prefix shingle and by size, which propose stars in turn. Each pair
+buckets, by prefix shingle and by size, which propose stars in turn, or, once small, all pairs. Each pair
 that shares a band is thus compared, lies in one component already, or is
 ruled out by counting, and the work stays in proportion to the members.
 """
@@ -33,6 +33,8 @@ from panelwright.semantics import persisted
 SHINGLE = 5
 #: Bands times rows are the bins. A pair at similarity .75 shares a band with probability 1 - (1 - .75**4)**32.
 BANDS, ROWS = 32, 4
+#: Buckets of up to so many members compare all of them; larger ones go by pivots.
+DIRECT = 16
 
 
 def shingles(words: Words, d: int, k: int = SHINGLE) -> np.ndarray:
@@ -172,6 +174,20 @@ def _spanning(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(several.select(key), key)
 
 
+def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds ``comp``, the component of ``node``."""
+    return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+
+
+def _direct_pairs(few: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b, more) of members of different components in buckets of at most ``DIRECT``: a bounded number for each member."""
+    own = _named(few.select("key", "node", "n"), labels)
+    other = own.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
+    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    both = own.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("other")) & near)
+    return both.select(F.col("node").alias("a"), "b", F.lit(False).alias("more"))
+
+
 def _smaller_buckets(stars: DataFrame, seen: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(key, node, n, deg): where two members of a star that are not linked to each other yet could still be.
 
@@ -237,18 +253,25 @@ def near_duplicates(
     )
     links = labels = None
     while True:
-        pivots = members.groupBy("key").agg(F.max(F.struct("deg", -F.col("node"))).alias("top"), F.count("*").alias("cnt"))
-        pivots = pivots.select("key", (-F.col("top.col2")).alias("a"), "cnt")
-        stars = members.join(pivots, "key").where("node != a")
-        path = F.xxhash64("a") if labels is None else F.col("key")  # bands with one pivot go on as one
+        first = labels is None
+        about = members.groupBy("key").agg(F.count("*").alias("cnt"), F.max(F.struct("deg", -F.col("node"))).alias("top"))
+        sized = members.join(about.select("key", "cnt", (-F.col("top.col2")).alias("a")), "key")
+        path = F.xxhash64("a") if first else F.col("key")  # bands with one pivot go on as one
+        stars = sized.where("node != a" if first else f"node != a and cnt > {DIRECT}")
         stars = persisted(stars.select(path.alias("path"), "a", F.col("node").alias("b"), "cnt").distinct(), "stars")
-        pairs = stars.groupBy("a", "b").agg((F.max("cnt") > 2).alias("more"))
-        seen = persisted(_compared(pairs, texts, k, percent), "seen")
+        pairs = stars.select("a", "b", (F.col("cnt") > DIRECT).alias("more"))
+        if not first:
+            pairs = pairs.unionByName(_direct_pairs(sized.where(F.col("cnt") <= DIRECT), labels, percent))
+        seen = persisted(_compared(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), texts, k, percent), "seen")
         found = seen.where("same").select("a", "b")
-        if labels is None or not found.isEmpty():
+        if first or not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = persisted(components(links), "labels")
-        members = persisted(_smaller_buckets(stars.drop("cnt").distinct(), seen, labels, percent).distinct(), "members")
+        rest = _smaller_buckets(stars.where(F.col("cnt") > DIRECT).drop("cnt"), seen, labels, percent)
+        if first:
+            few = _named(sized.where(f"node != a and cnt <= {DIRECT}").select("key", "node", "n", "deg"), labels)
+            rest = rest.unionByName(_spanning(few, "key").drop("comp"))
+        members = persisted(rest.distinct(), "members")
         if members.isEmpty():
             break
     whole = sets.select("d1", "d2", "node").join(labels, "node", "left")
