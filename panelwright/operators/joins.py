@@ -214,11 +214,13 @@ def contained_pairs(needles: DataFrame, nid: str, ntext: str, hay: DataFrame, hi
     )
 
 
-def expand_fixtures(ents: DataFrame, fixtures: DataFrame, entity: str, team: str, match: str, order: Sequence[str]) -> DataFrame:
-    """One row per entity and fixture of its team, numbered in fixture order."""
-    extra = [c for c in order if c != match]
+def expand_fixtures(
+    ents: DataFrame, fixtures: DataFrame, entity: str, team: str, match: str, order: Sequence[str], within: Sequence[str] = ()
+) -> DataFrame:
+    """One row per entity and fixture of its team, numbered in fixture order, anew in each period of ``within``."""
+    extra = [c for c in (*within, *order) if c != match]
     sides = unpivot_sides(fixtures, [match, *extra], {team: ("home_team", "away_team"), "opponent": ("away_team", "home_team")})
-    rn = F.row_number().over(Window.partitionBy(entity).orderBy(*order, "is_home"))
+    rn = F.row_number().over(Window.partitionBy(entity, *within).orderBy(*order, "is_home"))
     return ents.join(sides, team).withColumn("fixture_num", rn)
 
 

@@ -190,17 +190,16 @@ def _contains_names(spark, sf):
 @query(
     "q_fixture_fanout",
     FX
-    + """, m AS (SELECT * FROM fx WHERE season = 1998 AND round = 3),
-      sides AS (SELECT match_id, match_date, home_team AS team, away_team AS opponent, 1 AS is_home FROM m
-        UNION ALL SELECT match_id, match_date, away_team, home_team, 0 FROM m)
-    SELECT s_suppkey, match_id, opponent, is_home, row_number() OVER (PARTITION BY s_suppkey ORDER BY match_date, match_id, is_home) AS fixture_num
+    + """, sides AS (SELECT match_id, season, round, match_date, home_team AS team, away_team AS opponent, 1 AS is_home FROM fx
+        UNION ALL SELECT match_id, season, round, match_date, away_team, home_team, 0 FROM fx)
+    SELECT s_suppkey, match_id, opponent, is_home,
+      row_number() OVER (PARTITION BY s_suppkey, season, round ORDER BY match_date, match_id, is_home) AS fixture_num
     FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN sides ON sides.team = n_name""",
 )
 def _fanout(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("team"))
     ents = table(spark, sf, "supplier").join(n, "s_nationkey").select("s_suppkey", "team")
-    fx = fixtures(spark, sf).where("season = 1998 AND round = 3")
-    out = J.expand_fixtures(ents, fx, "s_suppkey", "team", "match_id", ["match_date", "match_id"])
+    out = J.expand_fixtures(ents, fixtures(spark, sf), "s_suppkey", "team", "match_id", ["match_date", "match_id"], ["season", "round"])
     return out.select("s_suppkey", "match_id", "opponent", "is_home", F.col("fixture_num").cast("long").alias("fixture_num"))
 
 
@@ -280,11 +279,16 @@ def _score_distinct(spark, sf):
 
 @query(
     "q_run_history",
-    RUNS + "SELECT runs.run_id, strftime(started, '%Y-%m-%d %H:%M:%S') AS started_at, n_rows, model, score FROM runs JOIN results ON runs.run_id = results.run_id WHERE model <> '5-LOW'",
+    RUNS
+    + """, h AS (SELECT runs.run_id, strftime(started, '%Y-%m-%d %H:%M:%S') AS started_at, n_rows, model, score
+      FROM runs JOIN results ON runs.run_id = results.run_id)
+    SELECT *, 'all' AS listing FROM h UNION ALL SELECT *, 'one' FROM h WHERE model = '2-HIGH'""",
 )
 def _run_history(spark, sf):
-    out = J.run_history(runs(spark, sf), run_results(spark, sf).where("model <> '5-LOW'"))
-    return out.select("run_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "n_rows", "model", "score")
+    heads, res = runs(spark, sf), run_results(spark, sf)
+    whole = J.run_history(heads, res).withColumn("listing", F.lit("all"))
+    out = whole.unionByName(J.run_history(heads, res, model="2-HIGH").withColumn("listing", F.lit("one")))
+    return out.select("run_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "n_rows", "model", "score", "listing")
 
 
 # ---- set operations ------------------------------------------------------

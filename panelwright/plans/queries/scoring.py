@@ -657,15 +657,15 @@ def _pdev(spark, sf):
 
 @query(
     "q_auc_logloss",
-    """WITH x AS (SELECT quality AS y, n_chars / (SELECT max(n_chars) + 1.0 FROM documents) AS p FROM labels JOIN documents USING (doc_id) WHERE n_chars > 0),
+    """WITH x AS (SELECT quality AS y, n_chars / (SELECT max(n_chars) + 1.0 FROM documents) AS p FROM labels JOIN documents USING (doc_id)),
     a AS (SELECT sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / count(*) AS auc FROM x AS a, x AS b WHERE a.y = 1 AND b.y = 0)
     SELECT round((SELECT auc FROM a), 6) AS auc, round(avg(CAST((p >= 0.5) = (y = 1) AS INTEGER)), 6) AS accuracy,
-      round(-avg(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS log_loss FROM x""",
+      round(-avg(CASE WHEN y = 1 THEN ln(greatest(p, 1e-15)) ELSE ln(1 - greatest(p, 1e-15)) END), 6) AS log_loss FROM x""",
 )
 def _auc(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "n_chars")
     top = docs.agg(F.max("n_chars") + F.lit(1.0)).scalar()
-    df = table(spark, sf, "labels").join(docs, "doc_id").where("n_chars > 0").select(
+    df = table(spark, sf, "labels").join(docs, "doc_id").select(
         F.col("quality").alias("y"), (F.col("n_chars") / top).alias("p")
     )
     return E.binary_metrics(df, "y", "p").select(r6("auc"), r6("accuracy"), r6("log_loss"))
