@@ -7,15 +7,15 @@ Empty bins borrow from a filled bin that a hash of the bin number picks
 documents that share a band meet in a bucket.
 
 A bucket proposes a star, not all pairs: each member with one pivot, and links
-are confirmed on the full sets. If the members then lie in several components,
-two of them may still be linked without the pivot. Let such a pair have sizes
-n and m, and share c and d shingles with the pivot. It needs at least
-percent * (n + m) / (100 + percent) common shingles. Either min(c, d) alone
-reaches that, or the two share shingles that the pivot lacks, and then one of
-a short prefix of those in hash order. So the members move on to smaller
-buckets, by prefix shingle and by size, which propose stars in turn, or, once small, all pairs. Each pair
-that shares a band is thus compared, lies in one component already, or is
-ruled out by counting, and the work stays in proportion to the members.
+are confirmed on the full sets. If the other members then lie in several
+components, two of them may still be linked. Let such a pair have sizes n and
+m, and share c and d shingles with the pivot. It needs percent * (n + m) /
+(100 + percent) common shingles, of which min(c, d) at most lie in the pivot.
+What both have beyond the pivot is bounded by bitmaps: a bit that only one of
+them sets stands for a shingle that the other lacks. Only pairs that this
+cannot rule out leave the join, and they are confirmed like the others. So
+each pair that shares a band is compared, lies in one component already, or is
+ruled out by counting.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from panelwright.semantics import persisted
 SHINGLE = 5
 #: Bands times rows are the bins. A pair at similarity .75 shares a band with probability 1 - (1 - .75**4)**32.
 BANDS, ROWS = 32, 4
-#: Buckets of up to so many members compare all of them; larger ones go by pivots.
-DIRECT = 16
+#: Words of 64 bits in a bitmap of what a set has beyond its pivot.
+BITMAP = 8
 
 
 def shingles(words: Words, d: int, k: int = SHINGLE) -> np.ndarray:
@@ -116,20 +116,19 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) ->
             )
 
 
-_SEEN = "a long, b long, more boolean, same boolean, n long, c long, prefix array<long>"
+_SEEN = "a long, b long, same boolean, n long, c long, " + ", ".join(f"w{i} long" for i in range(BITMAP))
 
 
 def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of pivot ``a`` and member ``b`` with both texts, sorted by ``a``.
 
     Gives whether their full sets are similar, the size of b's set, what it
-    shares with the pivot, and the prefix of what it has beyond the pivot
-    (only for pairs marked ``more``).
+    shares with the pivot, and the bitmap of what it has beyond the pivot.
     """
     last, held = None, None
     for batch in batches:
-        a, b, more, ta, tb = (batch.column(i) for i in range(5))
-        out = []
+        a, b, ta, tb = (batch.column(i) for i in range(4))
+        out, maps = [], np.zeros((batch.num_rows, BITMAP * 64), bool)
         for at, to, words in hashed(tb):
             for d in range(to - at):
                 i = at + d
@@ -139,23 +138,20 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
                 place = np.minimum(np.searchsorted(held, own), len(held) - 1)
                 shared = held[place] == own
                 n, c = len(own), int(shared.sum())
-                same = 100 * c >= percent * (len(held) + n - c)
-                prefix = None
-                if more[i].as_py():
-                    beyond = own[~shared]
-                    least = max(1, -(-percent * n // 100) - c)
-                    prefix = beyond[: max(0, len(beyond) - least + 1)].view(np.int64)
-                out.append((node, b[i].as_py(), more[i].as_py(), same, n, c, prefix))
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                maps[i, own[~shared] % U64(BITMAP * 64)] = True
+                out.append((node, b[i].as_py(), 100 * c >= percent * (len(held) + n - c), n, c))
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
         cols = list(zip(*out)) if out else [[]] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=["a", "b", "more", "same", "n", "c", "prefix"])
+        bits = np.packbits(maps, axis=1).view(np.int64)
+        arrays = [pa.array(x, t) for x, t in zip(cols, kinds)] + [pa.array(bits[:, i]) for i in range(BITMAP)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "same", "n", "c", *(f"w{i}" for i in range(BITMAP))])
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, more) with what ``_compare`` says. Texts travel, being smaller than their sets; a hot pivot is split by the join."""
+    """(a, b) with what ``_compare`` says. Texts travel, being smaller than their sets; a hot pivot is split by the join."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "more", "ta", "tb").sortWithinPartitions("a")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").sortWithinPartitions("a")
     return both.mapInArrow(lambda it: _compare(it, k, percent), _SEEN)
 
 
@@ -168,48 +164,23 @@ def sketches(
     )
 
 
-def _spanning(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` holds more than one component."""
-    several = rows.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    return rows.join(several.select(key), key)
+def _open_pairs(stars: DataFrame, seen: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of a bucket, not its pivot, that lie in different components and that counting does not rule out.
 
-
-def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds ``comp``, the component of ``node``."""
-    return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-
-
-def _direct_pairs(few: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b, more) of members of different components in buckets of at most ``DIRECT``: a bounded number for each member."""
-    own = _named(few.select("key", "node", "n"), labels)
-    other = own.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    both = own.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("other")) & near)
-    return both.select(F.col("node").alias("a"), "b", F.lit(False).alias("more"))
-
-
-def _smaller_buckets(stars: DataFrame, seen: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n, deg): where two members of a star that are not linked to each other yet could still be.
-
-    ``stars`` has (path, a, b); a new bucket lies within one path and lacks its pivot, so buckets only shrink.
+    ``stars`` has (key, a, b). The condition is part of the join, so what leaves it is what must be compared.
     """
-    named = stars.join(seen.where("more"), ["a", "b"])
-    named = named.join(labels.select(F.col("node").alias("b"), F.col("label").alias("comp")), "b", "left")
-    named = _spanning(named.withColumn("comp", F.coalesce("comp", "b")), "path")
-    cell = lambda size: F.floor(F.log(F.greatest(size, F.lit(1.0))) / F.lit(0.05)).cast("long")
-    least = F.col("n") * percent / 100
-    most = F.col("c") * (100 + percent) / percent - F.col("n")  # the largest partner that c alone suffices for
-    sized = named.withColumn("own", cell(F.col("n").cast("double")))
-    rows = ["path", "cell", "b", "n", "c", "comp"]
-    passive = sized.where(most >= least).withColumn("cell", F.col("own")).select(rows)
-    there = passive.groupBy("path", "cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    active = sized.where(most >= least).withColumn("cell", F.explode(F.sequence(cell(least), cell(most))))
-    active = active.join(there, ["path", "cell"]).where("lo < hi or lo != comp").select(rows)
-    passive = passive.join(active.select("path", "cell").distinct(), ["path", "cell"], "left_semi")
-    by_size = active.unionByName(passive).withColumn("key", F.xxhash64("path", "cell", F.lit("size"))).drop("path", "cell")
-    by_shingle = named.withColumn("x", F.explode("prefix")).withColumn("key", F.xxhash64("path", "x"))
-    rows = by_size.unionByName(by_shingle.select(by_size.columns))
-    return _spanning(rows, "key").select("key", F.col("b").alias("node"), "n", F.col("c").alias("deg"))
+    bits = [f"w{i}" for i in range(BITMAP)]
+    own = stars.join(seen.drop("same"), ["a", "b"]).drop("a").withColumnRenamed("b", "node")
+    own = own.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    several = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    own = persisted(own.join(several.select("key"), "key"), "open")
+    other = own.select("key", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "c", "comp", *bits)))
+    alone = lambda x, y: sum((F.bit_count(F.col(f"{w}{x}").bitwiseAND(F.bitwise_not(f"{w}{y}"))) for w in bits), F.lit(0))
+    beyond = F.least(F.col("n") - F.col("c") - alone("", "_y"), F.col("n_y") - F.col("c_y") - alone("_y", ""))
+    enough = (F.least("c", "c_y") + beyond) * (100 + percent) >= percent * (F.col("n") + F.col("n_y"))
+    near = F.least("n", "n_y") * 100 >= F.greatest("n", "n_y") * percent
+    pairs = own.join(other, "key").where((F.col("node") < F.col("node_y")) & (F.col("comp") != F.col("comp_y")) & near & enough)
+    return pairs.select(F.col("node").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -251,29 +222,15 @@ def near_duplicates(
         .agg(F.min("text").alias("text")),
         "texts",
     )
-    links = labels = None
-    while True:
-        first = labels is None
-        about = members.groupBy("key").agg(F.count("*").alias("cnt"), F.max(F.struct("deg", -F.col("node"))).alias("top"))
-        sized = members.join(about.select("key", "cnt", (-F.col("top.col2")).alias("a")), "key")
-        path = F.xxhash64("a") if first else F.col("key")  # bands with one pivot go on as one
-        stars = sized.where("node != a" if first else f"node != a and cnt > {DIRECT}")
-        stars = persisted(stars.select(path.alias("path"), "a", F.col("node").alias("b"), "cnt").distinct(), "stars")
-        pairs = stars.select("a", "b", (F.col("cnt") > DIRECT).alias("more"))
-        if not first:
-            pairs = pairs.unionByName(_direct_pairs(sized.where(F.col("cnt") <= DIRECT), labels, percent))
-        seen = persisted(_compared(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), texts, k, percent), "seen")
-        found = seen.where("same").select("a", "b")
-        if first or not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = persisted(components(links), "labels")
-        rest = _smaller_buckets(stars.where(F.col("cnt") > DIRECT).drop("cnt"), seen, labels, percent)
-        if first:
-            few = _named(sized.where(f"node != a and cnt <= {DIRECT}").select("key", "node", "n", "deg"), labels)
-            rest = rest.unionByName(_spanning(few, "key").drop("comp"))
-        members = persisted(rest.distinct(), "members")
-        if members.isEmpty():
-            break
+    about = members.groupBy("key").agg(F.max(F.struct("deg", -F.col("node"))).alias("top"))
+    stars = members.join(about.select("key", (-F.col("top.col2")).alias("a")), "key").where("node != a")
+    stars = persisted(stars.select("key", "a", F.col("node").alias("b")), "stars")
+    seen = persisted(_compared(stars.select("a", "b").distinct(), texts, k, percent), "seen")
+    links = seen.where("same").select("a", "b")
+    labels = persisted(components(links), "labels")
+    rest = persisted(_compared(_open_pairs(stars, seen, labels, percent), texts, k, percent), "rest").where("same").select("a", "b")
+    if not rest.isEmpty():
+        labels = persisted(components(links.union(rest)), "labels")
     whole = sets.select("d1", "d2", "node").join(labels, "node", "left")
     whole = whole.select("d1", "d2", F.coalesce("label", "node").alias("component"))
     own = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
