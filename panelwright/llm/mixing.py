@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.llm.common import word_count
-from panelwright.semantics import persisted
+from panelwright.semantics import broadcast_if_small, persisted
 
 #: Hash values a draw can take.
 DRAWS = 65536
@@ -117,6 +117,8 @@ def counted(
         F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
     )
     extra = F.when(draw(F.col(id_col), F.col(text_col)) < F.col("__c"), 1).otherwise(0)
+    # one row per source: broadcast if that is small, so that a hot source's documents stay where they are
+    named = broadcast_if_small(persisted(named, "named"))
     return (
         kept.join(named, F.col(source_col).cast("string").eqNullSafe(F.col("__s")))
         .withColumn("mix_size", word_count(F.col(text_col)))
