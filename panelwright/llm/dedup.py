@@ -34,7 +34,7 @@ SHINGLE = 5
 #: Bands times rows are the bins. A pair at similarity .75 shares a band with probability 1 - (1 - .75**4)**32.
 BANDS, ROWS = 32, 4
 #: Words of 64 bits in a bitmap of what a set has beyond its pivot.
-BITMAP = 8
+BITMAP = 16
 
 
 def shingles(words: Words, d: int, k: int = SHINGLE) -> np.ndarray:
@@ -164,22 +164,27 @@ def sketches(
     )
 
 
-def _open_pairs(stars: DataFrame, seen: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(stars: DataFrame, seen: DataFrame, labels: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
     """(a, b): members of a bucket, not its pivot, that lie in different components and that counting does not rule out.
 
-    ``stars`` has (key, a, b). The condition is part of the join, so what leaves it is what must be compared.
+    ``stars`` has (key, a, b), ``bands`` (node, bands). The condition is part of the join, so what leaves it is what must be
+    compared. A pair that shares several bands is looked at in the one with the smallest key; if one of the two is the pivot
+    there, they have been compared.
     """
     bits = [f"w{i}" for i in range(BITMAP)]
     own = stars.join(seen.drop("same"), ["a", "b"]).drop("a").withColumnRenamed("b", "node")
     own = own.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     several = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    own = persisted(own.join(several.select("key"), "key"), "open")
-    other = own.select("key", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "c", "comp", *bits)))
+    own = persisted(own.join(several.select("key"), "key").join(bands, "node"), "open")
+    other = own.select("key", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "c", "comp", "bands", *bits)))
     alone = lambda x, y: sum((F.bit_count(F.col(f"{w}{x}").bitwiseAND(F.bitwise_not(f"{w}{y}"))) for w in bits), F.lit(0))
     beyond = F.least(F.col("n") - F.col("c") - alone("", "_y"), F.col("n_y") - F.col("c_y") - alone("_y", ""))
     enough = (F.least("c", "c_y") + beyond) * (100 + percent) >= percent * (F.col("n") + F.col("n_y"))
     near = F.least("n", "n_y") * 100 >= F.greatest("n", "n_y") * percent
-    pairs = own.join(other, "key").where((F.col("node") < F.col("node_y")) & (F.col("comp") != F.col("comp_y")) & near & enough)
+    here = F.array_min(F.array_intersect("bands", "bands_y")) == F.col("key")
+    pairs = own.join(other, "key").where(
+        (F.col("node") < F.col("node_y")) & (F.col("comp") != F.col("comp_y")) & near & enough & here
+    )
     return pairs.select(F.col("node").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
@@ -228,7 +233,7 @@ def near_duplicates(
     seen = persisted(_compared(stars.select("a", "b").distinct(), texts, k, percent), "seen")
     links = seen.where("same").select("a", "b")
     labels = persisted(components(links), "labels")
-    rest = persisted(_compared(_open_pairs(stars, seen, labels, percent), texts, k, percent), "rest").where("same").select("a", "b")
+    rest = persisted(_compared(_open_pairs(stars, seen, labels, sets.select("node", "bands"), percent), texts, k, percent), "rest").where("same").select("a", "b")
     if not rest.isEmpty():
         labels = persisted(components(links.union(rest)), "labels")
     whole = sets.select("d1", "d2", "node").join(labels, "node", "left")
