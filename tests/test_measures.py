@@ -67,9 +67,11 @@ def test_distributions(spark):
         assert r.p == pytest.approx(1 - sum(pmf(k, r.l) for k in range(4)), abs=1e-12)
 
 
-def test_nb_tail_rejects_larger_thresholds(spark):
+def test_nb_tail_rejects_larger_thresholds_than_declared(spark):
     with pytest.raises(Exception, match="threshold"):
-        spark.range(1).select(M.nb_tail(F.lit(13), F.lit(2.0), F.lit(1.0))).collect()
+        spark.range(1).select(M.nb_tail(F.lit(13), F.lit(2.0), F.lit(1.0), most=12)).collect()
+    both = spark.range(1).select(M.nb_tail(F.lit(12), F.lit(2.0), F.lit(1.0), most=12).alias("a"), M.nb_tail(F.lit(12), F.lit(2.0), F.lit(1.0)).alias("b")).first()
+    assert both.a == pytest.approx(both.b, abs=1e-14)
 
 
 def test_draws_have_the_right_moments_and_are_stable(spark):
