@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwright.semantics import broadcast_if_small, null_safe_join, persisted
+from panelwright.semantics import BROADCAST_BYTES, null_safe_join, row_bytes
 
 _BLK, _HALO = "__block", "__halo"
 
@@ -179,8 +179,10 @@ def _heavy_blocks(df: DataFrame, panel: Panel) -> DataFrame | None:
         .where(F.col("__total") > panel.block_rows)
         .select(*keys, *period, F.floor(F.col("__before") / panel.block_rows).alias(_BLK))
     )
-    blocks = persisted(blocks, "blocks")  # a few rows, read for the test, the size check and the join
-    return None if blocks.isEmpty() else broadcast_if_small(blocks)
+    found = blocks.count()  # one number per partition
+    if not found:
+        return None
+    return F.broadcast(blocks) if found * row_bytes(blocks.schema) <= BROADCAST_BYTES else blocks
 
 
 def _blocked(df: DataFrame, panel: Panel, features: Sequence[Feature], blocks: DataFrame) -> DataFrame:
