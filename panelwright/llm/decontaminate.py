@@ -4,7 +4,8 @@ A seed is a mask over consecutive words: the words under a 1 are hashed, those
 under a 0 may be anything, so a replaced word breaks only the seeds that read
 it. Seeds of the benchmark are looked up for every position of every document.
 A hit fixes an alignment of document and item; the words around it are then
-compared one by one, and the best stretch in which most words agree counts.
+compared one by one, and the stretch with the most equal words counts among
+those whose equal share is high enough. An overlap that no seed hits is missed.
 
 The benchmark goes to the tasks in blocks of a bounded number of words, and
 every block meets every document: memory is bounded by a block, a batch and
@@ -93,13 +94,20 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield _make_block(ids, hashes)
 
 
-def _stretch(equal: np.ndarray, penalty: int) -> tuple[int, int, int]:
-    """(start, end, agreeing words) of the stretch with the most agreements less ``penalty`` for each difference."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -penalty))])
-    low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
-    start = int(total[: end + 1].argmin())
-    return start, end, int(equal[start:end].sum())
+def _stretch(equal: np.ndarray, percent: int) -> tuple[int, int, int]:
+    """(start, end, agreeing words) of the stretch with the most agreements of those where at least ``percent`` % agree.
+
+    A stretch qualifies if the balance of its ends does not fall, with ``100 - percent`` for an agreement and ``-percent`` for a
+    difference; the longest one for each end starts at the first balance that is low enough.
+    """
+    count = np.concatenate([[0], np.cumsum(equal)])
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 100 - percent, -percent))])
+    begin = np.searchsorted(-np.minimum.accumulate(total), -total)
+    end = int((count - count[begin]).argmax())
+    inside = np.flatnonzero(equal[begin[end] : end])
+    if not len(inside):
+        return 0, 0, 0
+    return int(begin[end] + inside[0]), int(begin[end] + inside[-1] + 1), len(inside)
 
 
 def _overlaps(block: Block, words: Words, least: int, percent: int) -> list[tuple[int, int, int, int, int]]:
@@ -121,12 +129,11 @@ def _overlaps(block: Block, words: Words, least: int, percent: int) -> list[tupl
     item = np.searchsorted(block.first, lines[:, 1], "right") - 1
     diagonal = lines[:, 0] - (lines[:, 1] - block.first[item])  # where the item's first word would lie
     best: dict[tuple[int, int], tuple] = {}
-    penalty = max(1, -(-percent // (100 - percent)))
     for d, i, at in np.unique(np.stack([text, item, diagonal], 1), axis=0):
         size = block.first[i + 1] - block.first[i]
         lo, hi = max(at, first[d]), min(at + size, first[d + 1])
         own = block.words[block.first[i] + lo - at : block.first[i] + hi - at]
-        start, end, same = _stretch(hashes[lo:hi] == own, penalty)
+        start, end, same = _stretch(hashes[lo:hi] == own, percent)
         if same >= max(LEAST_WORDS, min(least, -(-size * percent // 100))):
             rank = (-same, lo + start)
             if (d, i) not in best or rank < best[d, i][0]:
@@ -141,8 +148,7 @@ def overlaps(
     """Rows (``id_col``, item_id, first_word, n_words, n_equal): the best overlap of each document row and item.
 
     An overlap has at least ``least`` equal words (or ``percent`` % of a
-    shorter item) and no stretch of it more differences than ``percent`` %
-    equal words allow. Case and ASCII punctuation do not count. Null and empty
+    shorter item), and at least ``percent`` % of its words are equal. Case and ASCII punctuation do not count. Null and empty
     texts have none; repeated rows repeat their results; a null id stays null.
     """
     own = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))

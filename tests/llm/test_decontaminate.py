@@ -101,3 +101,33 @@ def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([] if empty == "bench" else [(1, "a " * 20)], "item_id long, text string")
     assert dec.overlaps(docs, bench).count() == 0
     assert dec.decontaminated(docs, bench).count() == docs.count()
+
+
+def most_equal(doc, item, least, percent=80):
+    """Most equal words of any stretch of any alignment that has ``least`` of them and ``percent`` % of its words equal, 0 if none."""
+    best = 0
+    for diag in range(-len(item), len(doc)):
+        equal = [doc[diag + q] == item[q] for q in range(len(item)) if 0 <= diag + q < len(doc)]
+        for i in range(len(equal)):
+            same = 0
+            for j in range(i, len(equal)):
+                same += equal[j]
+                if same >= least and 100 * same >= percent * (j - i + 1):
+                    best = max(best, same)
+    return best
+
+
+def test_share_of_equal_words_counts_over_the_whole_overlap(spark):
+    rng = random.Random(11)
+    items = [(i, [f"b{rng.randrange(10**6)}" for _ in range(100)]) for i in range(4)]
+    docs = []
+    for i, w in items:
+        for kind in range(3):
+            gone = range(2 + i % 2, 100, 5) if kind == 0 else rng.sample(range(100), 20) if kind == 1 else rng.sample(range(100), 45)
+            own = [f"y{rng.randrange(10**6)}" if at in gone else x for at, x in enumerate(w)]
+            docs.append((10 * i + kind, [f"x{rng.randrange(10**6)}" for _ in range(7)] + own + ["tail"] * 5))
+    want = {(d, i): most_equal(t, w, 13) for d, t in docs for i, w in items if d // 10 == i}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
+    assert got(dec.overlaps(frame, bench)) == {k: n for k, n in want.items() if n}
+    assert all(want[10 * i, i] == 80 for i, _ in items)
