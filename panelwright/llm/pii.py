@@ -1,21 +1,23 @@
 """Personal data: patterns, and terms that give protected values away.
 
 Base spans come from four patterns. Every value found is a protected entity.
-Information theory then asks which other terms near it disclose it: over the
-whole corpus, a word's pointwise mutual information with the entity, as a share
-of the entity's information content, says how much of the entity the word
-reveals. Words above the disclosure threshold get a span of kind ``term`` next
-to every mention; sanitising removes the strongest and generalises the others.
-
-Only DataFrame functions are used. Texts are never shuffled whole but for the
-documents that hold an entity; word counts are combined before they travel.
+Information theory then asks which other terms disclose it: over the documents
+of the whole corpus, a word's pointwise mutual information with the entity, as
+a share of the entity's information content, says how much of the entity the
+word reveals. Words above the disclosure threshold get a span of kind ``term``
+wherever they stand, in every document; sanitising removes the strongest and
+generalises the others.
+
+Only DataFrame functions are used. Word counts are combined before they travel;
+texts are joined with their terms by a digest, without a shuffle of the texts
+if the places of terms are few enough to be broadcast.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelwright.semantics import persisted
+from panelwright.semantics import BROADCAST_BYTES, broadcast_if_small, persisted, row_bytes
 
 #: Fixed by the contract, in listed order. Possessive and anchored forms find the same spans without backtracking.
 KINDS = ("email", "ip", "card", "phone")
@@ -108,49 +110,52 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, line), ",")
 
 
-def _words_around(text: Column, span: Column, reach: int, chars: int) -> Column:
-    """Terms within ``reach`` words of a span, at most ``chars`` characters away: array<struct<term, start, end>>."""
-    before_from = F.greatest(span["start"] - chars, F.lit(0))
-    sides = []
-    for at, part in (
-        (before_from, F.substring(text, before_from + 1, span["start"] - before_from)),
-        (span["end"], F.substring(text, span["end"] + 1, F.lit(chars))),
-    ):
-        gaps = F.split(part, LETTERS, -1)
-        found = F.regexp_extract_all(part, F.lit(LETTERS), F.lit(0))
-        both = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m"))
-        kind = "struct<term:string,start:int,end:int>"
-        walk = F.aggregate(
-            both,
-            F.struct(at.cast("int").alias("at"), F.array().cast(f"array<{kind}>").alias("t")),
-            lambda acc, x: F.struct(
-                (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-                F.concat(
-                    acc["t"],
-                    F.array(
-                        F.struct(
-                            F.lower(x["m"]).alias("term"),
-                            (acc["at"] + F.length(x["g"])).alias("start"),
-                            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"),
-                        )
-                    ),
-                ).alias("t"),
-            ),
-        )["t"]
-        # a word cut by the edge of the stretch is not a word
-        inside = F.filter(walk, lambda w: (w["start"] > before_from) & (w["end"] < span["end"] + chars)) if not sides else F.filter(
-            walk, lambda w: w["end"] < span["end"] + chars
-        )
-        sides.append(inside)
-    left, right = sides
-    return F.concat(
-        F.slice(left, F.greatest(F.size(left) - reach + 1, F.lit(1)), F.lit(reach)),
-        F.slice(right, F.lit(1), F.lit(reach)),
+def _words(text: Column) -> Column:
+    """Distinct words of a text in lower case; none for null."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), F.lower))
+
+
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a space for each stretch that base spans cover."""
+    walk = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]))))
+            .otherwise(acc["parts"])
+            .alias("parts"),
+        ),
+        lambda acc: F.concat(F.array_join(acc["parts"], " "), F.lit(" "), F.substring(text, acc["at"] + 1, F.length(text))),
     )
+    return walk
+
+
+def _term_places(text: Column, shares: Column) -> Column:
+    """array<struct<start, end, share>> of the words of a text that the map ``shares`` holds."""
+    gaps = F.split(text, LETTERS, -1)
+    found = F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0))
+    both = F.transform(
+        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m")),
+        lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["m"]).alias("m"), F.try_element_at(shares, F.lower(x["m"])).alias("share")),
+    )
+    return F.aggregate(
+        both,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,share:double>>").alias("t")),
+        lambda acc, x: F.struct(
+            (acc["at"] + x["g"] + x["m"]).alias("at"),
+            F.when(
+                x["share"].isNotNull(),
+                F.concat(acc["t"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end"), x["share"].alias("share")))),
+            )
+            .otherwise(acc["t"])
+            .alias("t"),
+        ),
+    )["t"]
 
 
 def _holders(docs: DataFrame, text_col: str) -> DataFrame:
-    """Distinct texts that hold an entity: text key, text, base spans and how many rows have it."""
+    """Texts that hold an entity, one row per row that has it: text and base spans."""
     own = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("spans", base_spans(F.col("text")))
     return own.where(F.size("spans") > 0)
 
@@ -159,75 +164,70 @@ def _key(text: Column) -> Column:
     return F.md5(text)
 
 
-def disclosing_terms(
-    docs: DataFrame, text_col: str = "text", threshold: float = 0.8, least: int = 3, reach: int = 8, chars: int = 160
-) -> tuple[DataFrame, DataFrame]:
-    """Mentions near entities, and the (entity, term) pairs that disclose.
+def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float = 0.8, least: int = 3) -> DataFrame:
+    """(entity, term, share): the pairs that disclose.
 
-    Returns (mentions, pairs). mentions: ``key`` of the text, ``entity``,
-    ``term``, ``start``, ``end``, one row per place and distinct text. pairs:
-    ``entity``, ``term`` and ``share``, the pointwise mutual information of
-    both over documents divided by the information content of the entity.
-    Kept are pairs seen in at least ``least`` documents with a share of at
-    least ``threshold``. Document counts are over all rows.
+    ``share`` is the pointwise mutual information of both over documents
+    divided by the information content of the entity. A term occurs with an
+    entity in a document if it stands anywhere in its text outside the base
+    spans. Kept are pairs seen in at least ``least`` documents with a share of
+    at least ``threshold``. Document counts are over all rows.
     """
     held = persisted(_holders(docs, text_col), "holders")
-    near = held.select(_key(F.col("text")).alias("key"), "text", F.explode("spans").alias("s"))
-    # the text is used and dropped in the same projection; only places travel
-    near = near.select(
-        "key",
-        F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("entity"),
-        F.explode(_words_around(F.col("text"), F.col("s"), reach, chars)).alias("w"),
-    ).select("key", F.lower("entity").alias("entity"), "w.term", "w.start", "w.end")
-    copies = held.groupBy(_key(F.col("text")).alias("key")).agg(F.count("*").alias("rows"))
-    mentions = persisted(near.distinct(), "mentions")
-    by_text = mentions.select("key", "entity", "term").distinct().join(copies, "key")
-    together = by_text.groupBy("entity", "term").agg(F.sum("rows").alias("both")).where(F.col("both") >= least)
     values = F.transform("spans", lambda b: F.lower(F.substring(F.col("text"), b["start"] + 1, b["end"] - b["start"])))
-    of_entity = held.select(F.explode(F.array_distinct(values)).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = docs.count()
-    wanted = together.select("term").distinct()
-    words = docs.select(
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(LETTERS), F.lit(0)))).alias("term")
-    )
-    of_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
-    n = F.lit(float(max(total, 1)))
+    of_text = held.select(_key(F.col("text")).alias("key"), F.array_distinct(values).alias("entities"))
+    of_text = of_text.groupBy("key").agg(F.first("entities").alias("entities"), F.count("*").alias("rows"))
+    of_text = persisted(of_text.select("key", "rows", F.explode("entities").alias("entity")), "entities")
+    total = max(docs.count(), 1)
+    n = F.lit(float(total))
+    # a pair is in no more documents than its entity, so rarer entities have no pair
+    counts = of_text.groupBy("entity").agg(F.sum("rows").alias("n_entity")).where((F.col("n_entity") >= least) & (F.col("n_entity") < n))
+    mine = persisted(of_text.join(counts, "entity"), "shared_entities")
+    keys = mine.select("key").distinct()
+    words = docs.select(F.explode(_words(F.col(text_col).cast("string"))).alias("term"))
+    of_term = words.groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= least)
+    # the text is used and dropped in the same projection; only words travel
+    texts = held.select(_key(F.col("text")).alias("key"), "text", "spans").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    beside = texts.select("key", F.explode(_words(_outside(F.col("text"), F.col("spans")))).alias("term")).join(of_term, "term")
+    # a share above the threshold is out of reach of a term in more documents than this, even if all of the entity's hold it
+    reach = n * F.pow(F.col("n_entity") / n, F.lit(float(threshold))) * (1 + 1e-9)
+    together = mine.join(beside, "key").where(F.col("n_term") <= reach)
+    together = together.groupBy("entity", "n_entity", "term", "n_term").agg(F.sum("rows").alias("both")).where(F.col("both") >= least)
     share = F.log2(F.col("both") * n / (F.col("n_entity") * F.col("n_term"))) / F.log2(n / F.col("n_entity"))
-    pairs = (
-        together.join(of_entity, "entity")
-        .join(of_term, "term")
-        .select("entity", "term", F.when(F.col("n_entity") < n, share).otherwise(F.lit(0.0)).alias("share"))
-        .where(F.col("share") >= threshold)
-    )
-    return mentions, persisted(pairs, "pairs")
+    return persisted(together.select("entity", "term", share.alias("share")).where(F.col("share") >= threshold), "pairs")
 
 
-def found(
-    docs: DataFrame, text_col: str = "text", threshold: float = 0.8, remove: float = 0.95, least: int = 3, reach: int = 8, chars: int = 160
-) -> DataFrame:
+def found(docs: DataFrame, text_col: str = "text", threshold: float = 0.8, remove: float = 0.95, least: int = 3) -> DataFrame:
     """``docs`` with ``pii_base`` and ``pii_spans``: arrays of struct<start, rank, end>, and ``pii_strong``: starts of terms to remove.
 
-    Ranks number email, ip, card, phone, term. Positions are code points, end
-    exclusive. Null and empty texts have no spans; equal texts have equal spans.
-    Columns of ``docs`` with those names are replaced.
+    Ranks number email, ip, card, phone, term. A disclosing term has a span at
+    every occurrence in every document that does not overlap a base span.
+    Positions are code points, end exclusive. Null and empty texts have no
+    spans; equal texts have equal spans. Columns of ``docs`` with those names
+    are replaced.
     """
     mine = ("pii_base", "pii_spans", "pii_strong")
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in mine])
-    mentions, pairs = disclosing_terms(docs, text_col, threshold, least, reach, chars)
-    places = mentions.join(pairs, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("share").alias("share"))
-    per_text = places.groupBy(F.col("key").alias("__k")).agg(
-        F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end")).alias("__t"),
-        F.collect_list(F.when(F.col("share") >= remove, F.col("start"))).alias("pii_strong"),
-    )
+    pairs = disclosing_terms(docs, text_col, threshold, least)
     text = F.col(text_col).cast("string")
     based = kept.withColumn("pii_base", base_spans(text))
-    none = F.array().cast(f"array<{SPAN}>")
-    plain = based.where(F.size("pii_base") == 0).select("*", none.alias("pii_spans"), F.array().cast("array<int>").alias("pii_strong"))
+    if pairs.isEmpty():
+        return based.select("*", F.col("pii_base").alias("pii_spans"), F.array().cast("array<int>").alias("pii_strong"))
+    terms = persisted(pairs.groupBy("term").agg(F.max("share").alias("share")), "terms")
+    words = docs.select(_key(text).alias("__k"), F.explode(_words(text)).alias("term"))
+    hits = words.join(broadcast_if_small(terms), "term").groupBy("__k", "term").agg(F.first("share").alias("share"))
+    hits = persisted(hits, "hits")
+    per_text = hits.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("__t"))
+    if hits.count() * row_bytes(hits.schema) <= BROADCAST_BYTES:
+        per_text = F.broadcast(per_text)
+    rest = based.withColumn("__k", _key(text)).join(per_text, "__k", "left")
     clear = lambda t: ~F.exists("pii_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    rest = based.where(F.size("pii_base") > 0).withColumn("__k", _key(text)).join(per_text, "__k", "left")
-    rest = rest.withColumn("pii_spans", F.array_sort(F.concat("pii_base", F.filter(F.coalesce("__t", none), clear))))
-    rest = rest.withColumn("pii_strong", F.coalesce("pii_strong", F.array().cast("array<int>")))
-    return plain.unionByName(rest.select(*plain.columns))
+    places = F.when(F.col("__t").isNotNull(), F.filter(_term_places(text, F.col("__t")), clear))
+    rest = rest.withColumn("__p", F.coalesce(places, F.array().cast("array<struct<start:int,end:int,share:double>>")))
+    as_span = lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), t["end"].alias("end"))
+    rest = rest.withColumn("pii_spans", F.array_sort(F.concat("pii_base", F.transform("__p", as_span))))
+    rest = rest.withColumn("pii_strong", F.transform(F.filter("__p", lambda t: t["share"] >= remove), lambda t: t["start"]))
+    return rest.drop("__k", "__t", "__p")
 
 
 #: What stands in for each kind.

@@ -123,6 +123,19 @@ def test_terms_that_give_a_value_away(spark):
     assert all(clean[i] == t for i, t in rows if i >= 10)
 
 
+def test_terms_far_from_the_value_and_in_documents_without_it(spark):
+    far = "some words and here " * 60
+    rows = [(i, f"filler{i} Zanthor {far} jo@ex.org, then ZANTHOR {far} again Zanthor") for i in range(20)]
+    rows += [(100, "Zanthor alone is named, é😀 zanthor"), (101, "Zanthors is another word"), (102, "ex org jo")]
+    rows += [(200 + i, f"some words and here then lives again nobody number{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert all(clean[i] == rows[i][1].replace("jo@ex.org", "[EMAIL]").replace("Zanthor", "").replace("ZANTHOR", "") for i in range(20))
+    assert clean[100] == " alone is named, é😀 " and all(clean[i] == t for i, t in rows if i > 100)
+    spans = {r.doc_id: [(s.start, s.rank, s.end) for s in r.pii_spans] for r in pii.found(df).where("doc_id = 100").collect()}
+    assert spans[100] == [(0, 4, 7), (27, 4, 34)]
+
+
 def test_odd_rows(spark):
     rows = [(None, "x a@b.co", "a"), (1, None, "b"), (2, "", None), (3, "y a@b.co", "d"), (3, "y a@b.co", "d"), (4, "w " * 100_000 + "1.2.3.4", "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, pii_spans string")
