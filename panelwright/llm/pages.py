@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelwright.semantics import BROADCAST_BYTES, persisted, row_bytes
+
 #: Words that make a repeated stretch long.
 DEPTH = 6
 
@@ -157,12 +159,13 @@ def _tokens(parts: list[tuple[int, str]], structure: bool) -> list[str]:
     return out
 
 
-_NAMED = r"(?i)<(article|main)[\s>/]|role\s*=\s*[\"']?main"
+def _named(parts: list[tuple[int, str]]) -> bool:
+    """Whether the page has text in an article or main element, by its parsed markup."""
+    return any(zone == TEXT for zone, _ in parts)
 
 
 def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return own.withColumn("named", F.coalesce(F.col("html").rlike(_NAMED), F.lit(False)))
+    return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
 
 def repeated_places(pages: DataFrame, structure: bool = True, depth: int = DEPTH) -> DataFrame:
@@ -177,18 +180,18 @@ def repeated_places(pages: DataFrame, structure: bool = True, depth: int = DEPTH
         for b in batches:
             out: list[tuple] = []
             for where, key, source in zip(*(b.column(i).to_pylist() for i in range(3))):
-                words = _tokens(blocks(source), structure)
-                out += [(where, key, i, "\n".join(words[i : i + depth])) for i in range(max(0, len(words) - depth + 1))]
-            cols = list(zip(*out)) if out else [[]] * 4
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "key", "place", "suffix"])
+                parts = blocks(source)
+                words, judge = _tokens(parts, structure), not (structure and _named(parts))
+                out += [(where, key, i, "\n".join(words[i : i + depth]), judge) for i in range(max(0, len(words) - depth + 1))]
+            cols = list(zip(*out)) if out else [[]] * 5
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "key", "place", "suffix", "judge"])
 
     sources = pages.where("html is not null").select(host(F.col("url")).alias("host"), F.md5("html").alias("key"), "html")
-    found = sources.mapInArrow(suffixes, "host string, key string, place int, suffix string")
-    found = found.select("key", "place", F.xxhash64("host", "suffix").alias("h1"), F.xxhash64("suffix", "host", F.lit(1)).alias("h2"))
+    found = sources.mapInArrow(suffixes, "host string, key string, place int, suffix string, judge boolean")
+    found = found.select("key", "place", "judge", F.xxhash64("host", "suffix").alias("h1"), F.xxhash64("suffix", "host", F.lit(1)).alias("h2"))
     shared = found.groupBy("h1", "h2").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h1", "h2")
-    wanted = pages.where("html is not null" + (" and not named" if structure else "")).select(F.md5("html").alias("key")).distinct()
-    return found.join(wanted, "key", "left_semi").join(shared, ["h1", "h2"]).select("key", "place").distinct()
+    return found.where("judge").join(shared, ["h1", "h2"]).select("key", "place").distinct()
 
 
 def extract(
@@ -203,24 +206,20 @@ def extract(
     """
     own = _pages(pages, id_col, url_col, html_col)
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [_joined(blocks(s)) for s in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
             for source, places in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 parts = blocks(source)
+                if structure and _named(parts):
+                    texts.append(_joined(parts))
+                    continue
                 words = _tokens(parts, structure)
                 covered = bytearray(len(words))
                 for p in places or ():
                     covered[p : p + depth] = b"\1" * depth
                 keep, at = [], 0
                 for zone, text in parts:
-                    if structure and zone == TEXT:
-                        continue
                     n = text.count(" ") + 1
                     if not (structure and zone == RULED_OUT):
                         keep += [w for w, c in zip(words[at : at + n], covered[at : at + n]) if not c]
@@ -230,10 +229,10 @@ def extract(
 
     kind = own.schema["page_id"].dataType.simpleString()
     schema = f"page_id {kind}, url string, text string"
-    places = repeated_places(own, structure, depth).groupBy("key").agg(F.collect_list("place").alias("places"))
-    rest = own.where(~F.col("named")) if structure else own
-    rest = rest.withColumn("key", F.coalesce(F.md5("html"), F.md5(F.coalesce("url", F.lit(""))))).join(places, "key", "left")
-    out = rest.select("page_id", "url", "html", "places").mapInArrow(judged, schema)
-    if structure:
-        out = own.where("named").select("page_id", "url", "html").mapInArrow(known, schema).unionByName(out)
+    places = persisted(repeated_places(own, structure, depth), "places")
+    by_page = places.groupBy("key").agg(F.collect_list("place").alias("places"))
+    if places.count() * row_bytes(places.schema) <= BROADCAST_BYTES:
+        by_page = F.broadcast(by_page)
+    own = own.withColumn("key", F.coalesce(F.md5("html"), F.md5(F.coalesce("url", F.lit("")))))
+    out = own.join(by_page, "key", "left").select("page_id", "url", "html", "places").mapInArrow(judged, schema)
     return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text")

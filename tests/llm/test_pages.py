@@ -68,3 +68,12 @@ def test_odd_rows(spark):
     got = sorted(((r.page_id, r.text) for r in out.collect()), key=str)
     assert got == sorted([(1, ""), (None, ""), (2, "x"), (2, "x"), (3, "free text"), (4, ("w " * 200_000).strip())], key=str)
     assert pg.extract(df.limit(0)).count() == 0
+
+
+def test_article_in_name_only_leaves_the_page_to_repetition(spark):
+    chrome = "<div>Read all our daily news here now</div>"
+    odd = ["<!-- <article> -->", '<script>var a = "<main>"</script>', '<div class="comments"><article>First words of a reader</article></div>', "<article></article>", "<p title='role=main'></p>"]
+    rows = [(i, f"http://h.example/{i}", f"{chrome}{x}<p>thing{i} and place{i}</p>") for i, x in enumerate(odd)]
+    rows += [(9, "http://h.example/9", f'{chrome}<div role=" main "><p>spaced role</p></div>')]
+    got = {r.page_id: r.text for r in pg.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"thing{i} and place{i}" for i in range(len(odd))} | {9: "spaced role"}
