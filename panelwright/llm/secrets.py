@@ -1,6 +1,7 @@
 """Secrets: candidate strings, and a random forest that removes false positives.
 
-Every long run of token characters is a candidate. Its features are its length
+Every long run of token characters is a candidate, and so is every value that
+is assigned after a keyword, whatever its length and characters. Its features are its length
 and make-up, how often its characters change class, how likely its character
 transitions are among the corpus's words, how much of it the corpus's
 vocabulary covers, whether it lies in a path or URL or in a test file, and the
@@ -23,28 +24,49 @@ CANDIDATE = r"[A-Za-z0-9_/+=-]{16,}+"
 REACH = 48
 #: Words before a secret.
 KEYWORDS = r"(?i)(token|secret|passw(or)?d|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
+#: What leads to an assigned value: a name with a keyword, and a sign.
+LEAD = KEYWORDS + r"[A-Za-z0-9_-]{0,32}+[\"']?\s{0,8}+(:=|=>|[=:])\s{0,8}+"
+#: The value after it: up to the closing quote, or without quotes up to white space, a quote, a comma or a semicolon.
+ASSIGNED = LEAD + r"(\"[^\"\n]++\"|'[^'\n]++'|(?![{\[(])[^\s\"',;]++(?<!:)(?!\s{0,8}[=:]|[\"']))"
 FEATURES = (
     "length", "digits", "uppers", "variety", "changes", "transitions", "coverage", "in_path", "test_path", "keyword", "assigned", "quoted",
 )
 SPAN = "struct<value:string,start:int>"
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """(doc_id, path, value, start, end, before, after): one row per candidate and document row, positions in code points."""
-    text = F.col("text")
-    path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), path.alias("path"))
-    gaps, found = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+def _places(text: Column, pattern: str, lead: str | None = None) -> Column:
+    """array<SPAN> of a pattern's matches, in code points; with ``lead`` without that beginning and without quotes."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m"))
-    walk = F.aggregate(
+
+    def span(m: Column, at: Column) -> Column:
+        if lead is None:
+            return F.struct(m.alias("value"), at.alias("start"))
+        begin = F.length(F.regexp_extract(m, f"^{lead}[\"']?", 0))
+        value = F.regexp_replace(F.substring(m, begin + 1, F.length(m)), "[\"']$", "")
+        return F.struct(value.alias("value"), (at + begin).alias("start"))
+
+    return F.aggregate(
         both,
         F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("s")),
         lambda a, x: F.struct(
             (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(a["s"], F.array(F.struct(x["m"].alias("value"), (a["at"] + F.length(x["g"])).alias("start")))).alias("s"),
+            F.concat(a["s"], F.array(span(x["m"], a["at"] + F.length(x["g"])))).alias("s"),
         ),
     )["s"]
-    spans = own.where(text.rlike(CANDIDATE)).select("doc_id", "path", "text", F.explode(walk).alias("s"))
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """(doc_id, path, value, start, end, before, after): one row per candidate and document row, positions in code points.
+
+    A value that is both a run and assigned is one candidate; a run inside a longer assigned value is one besides it.
+    """
+    text = F.col("text")
+    path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), path.alias("path"))
+    none = F.array().cast(f"array<{SPAN}>")
+    walk = F.array_distinct(F.concat(_places(text, CANDIDATE), F.when(text.rlike(ASSIGNED), _places(text, ASSIGNED, LEAD)).otherwise(none)))
+    spans = own.where(text.rlike(CANDIDATE) | text.rlike(ASSIGNED)).select("doc_id", "path", "text", F.explode(walk).alias("s"))
     start, end = F.col("s.start"), F.col("s.start") + F.length("s.value")
     low = F.greatest(start - REACH, F.lit(0))
     return spans.select(

@@ -51,3 +51,19 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id, r.start, r.end) for r in secrets.scan(df).collect()), key=str)
     assert got == sorted([(None, 0, 20), (3, 3, 27), (3, 3, 27), (4, 200_000, 200_020)], key=str)
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_assigned_values_of_any_length_and_characters(spark):
+    texts = {
+        'é password = "Tr0ub4dor&3" end': ["Tr0ub4dor&3"], "db_password: 'p@ss.w0rd!2024', x": ["p@ss.w0rd!2024"], "secret_key=s3:cr;et": ["s3:cr"],
+        '{"api_key": "a b"}': ["a b"], "token: {password: \"x y\"}": ["x y"], "token = password = 'z1'": ["z1"],
+        'token = "0123456789abcdef0123"': ["0123456789abcdef0123"], 'token = "0123456789abcdef.0123456789abcdefg"': ["0123456789abcdef", "0123456789abcdef.0123456789abcdefg", "0123456789abcdefg"],
+        "a password of mine": [], "name = 'Tr0ub4dor&3'": [], "AUTH => k": ["k"],
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {i: [] for i in range(len(texts))}
+    for r in secrets.candidates(df).collect():
+        assert list(texts)[r.doc_id][r.start : r.end] == r.value
+        got[r.doc_id].append(r.value)
+    assert [sorted(v) for v in got.values()] == list(texts.values())
+    assert secrets.scan(df).count() == sum(map(len, texts.values()))
