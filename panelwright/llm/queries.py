@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import chat, decontaminate, dedup, licences, mixing, neighbours, pages, pii, secrets, toxicity
+from panelwright.llm import alignment, chat, decontaminate, dedup, licences, mixing, neighbours, pages, pii, prefixes, secrets, tokenfile, toxicity
 from panelwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,60 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_secrets")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def _vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies; the operators take any path that all executors reach."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.statistics(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
+@_query("op12_token_files")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenfile.write(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return tokenfile.summaries(manifest)
+
+
+#: CRC-32 of a decimal number, bit by bit, as SQL.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+TRIE_SQL = f"""
+WITH own AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+lent AS (SELECT *, {_CRC} % 9 AS h FROM own),
+built AS (
+  SELECT l.conv_id, list_concat(CASE WHEN b.turns IS NULL THEN l.turns[1:0] ELSE b.turns[1:l.h] END, l.turns[l.h + 1:]) AS turns
+  FROM lent l LEFT JOIN own b ON b.conv_id = l.conv_id - l.conv_id % 5),
+seen AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM built),
+keyed AS (
+  SELECT conv_id, depth, depth = len(turns) AS ended, sha256(depth::VARCHAR || to_json(turns[1:depth])) AS k,
+         CASE WHEN depth > 0 THEN sha256((depth - 1)::VARCHAR || to_json(turns[1:depth - 1])) END AS p,
+         CASE WHEN depth > 0 THEN octet_length(encode(turns[depth].t)) ELSE 0 END AS bytes
+  FROM seen),
+nodes AS (
+  SELECT k, any_value(p) AS p, any_value(depth) AS depth, any_value(bytes) AS bytes, count(*) AS n, min(conv_id) AS conv_id,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends
+  FROM keyed GROUP BY k),
+kids AS (SELECT p, count(*) AS n FROM nodes WHERE p IS NOT NULL GROUP BY p),
+-- a node lies below every prefix of its smallest member that is not deeper
+below AS (
+  SELECT a.k, sum((d.n - 1) * d.bytes)::BIGINT AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+  FROM nodes d LEFT JOIN kids c ON c.p = d.k JOIN keyed a ON a.conv_id = d.conv_id AND a.depth <= d.depth GROUP BY a.k)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(c.n, 0) AS n_children, b.leaves AS n_leaves,
+       b.saved AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.k = n.p LEFT JOIN kids c ON c.p = n.k JOIN below b ON b.k = n.k
+"""
+
+
+@_query("op13_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations")).drop("digest")
