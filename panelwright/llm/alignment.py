@@ -17,6 +17,7 @@ for a chunk, however frequent it is.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelwright.llm.tokens import ID, ByteLevel, Pieces, cut, loaded, text_steps
+from panelwright.llm.common import mix64
+from panelwright.llm.tokens import ID, ByteLevel, Memo, Parted, Pieces, gathered, loaded, packed_between, text_steps
 from panelwright.semantics import BROADCAST_BYTES, persisted, row_bytes
 
-#: A chunk ends above these: distinct windows, their ids, and windows named by documents. They bound a task's memory.
-CHUNK_WINDOWS, CHUNK_IDS, CHUNK_NAMES = 250_000, 8_000_000, 6_000_000
+#: A chunk ends above these: distinct windows, their links, and windows named by documents. They bound a task's memory.
+CHUNK_WINDOWS, CHUNK_IDS, CHUNK_NAMES = 400_000, 8_000_000, 6_000_000
 
 #: Parts that a frequent pair's windows are dealt over where the table of pairs is too large to broadcast.
 SALTS = 32
@@ -42,18 +44,47 @@ class Aligner:
         self.bytes_a, self.bytes_b = self.a.token_bytes(), self.b.token_bytes()
         self.width_a, self.width_b = (np.array([len(t) for t in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         self.marked_a, self.marked_b = (np.array([t[:1] == b" " for t in v], bool) for v in (self.bytes_a, self.bytes_b))
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both for a space and each text; both empty where a text is empty or its bytes do not come back."""
-        parts = [cut(t) for t in texts]
-        none = np.zeros(0, ID)
-        for text, a, b in zip(texts, self.a.encode_after_space(texts, parts), self.b.encode(texts, parts)):
-            a, b = np.frombuffer(a, ID), np.frombuffer(b, ID)
-            whole = (" " + text).encode()
-            same = bool(text) and all(
-                b"".join(map(v.__getitem__, ids.tolist())) == whole for v, ids in ((self.bytes_a, a), (self.bytes_b, b))
-            )
-            yield (a, b) if same else (none, none)
+        #: ids as text with the sign after them: "," inside a group, "|" after A's last, ";" after B's last
+        self.written = [f"{i}{c}" for n, last in ((len(self.bytes_a), "|"), (len(self.bytes_b), ";")) for i in range(n) for c in (",", last)]
+        #: part -> (ids of A, ids of B, whether both give its bytes back)
+        self._parts = Memo(self._both)
+
+    def _same(self, ids: bytes, table: list[bytes], whole: bytes) -> bool:
+        return b"".join(map(table.__getitem__, array("I", ids))) == whole
+
+    def _both(self, texts: list[str]) -> list[tuple[bytes, bytes, bool]]:
+        a, b = self.a.after_spaces(texts), self.b.whole(texts)
+        whole = [(" " + t).encode() for t in texts]
+        same = np.ones(len(texts), bool)
+        for coded, widths, table in ((a, self.width_a, self.bytes_a), (b, self.width_b, self.bytes_b)):
+            flat = np.frombuffer(b"".join(coded), ID)
+            stops = np.cumsum([len(c) // ID.itemsize for c in coded], dtype=np.int64)
+            ends = np.concatenate([[0], np.cumsum(widths[flat])])[stops]
+            # all at once; one by one only where something differs
+            if (ends != np.cumsum([len(w) for w in whole])).any() or b"".join(map(table.__getitem__, flat.tolist())) != b"".join(whole):
+                same &= [self._same(c, table, w) for c, w in zip(coded, whole)]
+        return list(zip(a, b, same.tolist()))
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Packed ids of both for a space and each text; both empty where a text is empty or its bytes do not come back."""
+        if not texts:
+            return []
+        divisible = self.a.divisible and self.b.divisible
+        # a text that starts with white space, or that B reads differently as a whole, is no union of parts
+        cuts = Parted(texts, lambda t: not divisible or "\u2581" in t or t[:1].isspace())
+        values = self._parts(cuts.parts)
+        wrong = np.array([not v[2] for v in values], bool)
+        odd = np.add.reduceat(wrong[cuts.numbers].astype(np.int64), cuts.bounds[:-1])
+        streams = []
+        for i in (0, 1):
+            flat, stops = gathered(cuts.numbers, [v[i] for v in values])
+            streams.append(packed_between(flat, stops[cuts.bounds[1:] - 1]))
+        out = list(zip(*streams))
+        for i in np.flatnonzero((odd > 0) | np.array([not t for t in texts])).tolist():
+            whole = (" " + texts[i]).encode()
+            if not texts[i] or not all(self._same(ids, t, whole) for ids, t in zip(out[i], (self.bytes_a, self.bytes_b))):
+                out[i] = (b"", b"")
+        return out
 
     def shared_ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``a`` and in ``b`` of the tokens that end together, in order."""
@@ -63,25 +94,63 @@ class Aligner:
         hit = ends_b[at] == ends_a if len(ends_b) else np.zeros(len(ends_a), bool)
         return np.flatnonzero(hit), at[hit]
 
-    def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-        """Ends of the windows in ``a`` and in ``b``: shared ends before space-marked tokens, and the end of the text."""
-        end_a, end_b = self.shared_ends(a, b)
+    def windows(self, a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+        """Which shared ends close a window: those before space-marked tokens, and the last one.
+
+        Texts may stand one after the other: each starts with a space, and its
+        end is shared, so no window goes on in the next text.
+        """
         if not len(end_a):
-            return [], []
+            return np.zeros(0, np.int64)
         next_a, next_b = np.minimum(end_a + 1, len(a) - 1), np.minimum(end_b + 1, len(b) - 1)
         anchor = self.marked_a[a[next_a]] & self.marked_b[b[next_b]]
         anchor[-1] = True
-        return (end_a[anchor] + 1).tolist(), (end_b[anchor] + 1).tolist()
-
-    def align(self, a: bytes, b: bytes) -> tuple[str, list[int], list[int]]:
-        """A window's groups as text, and the ids of each link: the tokens that end a group."""
-        a, b = np.frombuffer(a, ID), np.frombuffer(b, ID)
-        end_a, end_b = self.shared_ends(a, b)
-        groups, i, j = [], 0, 0
-        for m, n in zip((end_a + 1).tolist(), (end_b + 1).tolist()):
-            groups.append(",".join(map(str, a[i:m].tolist())) + "|" + ",".join(map(str, b[j:n].tolist())))
-            i, j = m, n
-        return ";".join(groups), a[end_a].tolist(), b[end_b].tolist()
+        return np.flatnonzero(anchor)
+
+    def distinct(self, a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a window of each kind, kind of each window): windows with equal id tuples are one kind.
+
+        Windows are brought together by a hash of their tuples and then
+        compared id by id; should two different ones ever share a hash, every
+        window counts as its own kind, which the id tuples set right later.
+        """
+        n = len(stop_a)
+        mixed = np.zeros(n, np.uint64)
+        streams = [(v, s, np.concatenate([[0], s[:-1]])) for v, s in ((a, stop_a), (b, stop_b))] if n else []
+        with np.errstate(over="ignore"):
+            for ids, stop, start in streams:
+                place = np.arange(len(ids)) - np.repeat(start, stop - start)
+                value = mix64(ids.astype(np.uint64) + place.astype(np.uint64) * np.uint64(1 << 32) + np.uint64(1))
+                mixed = mix64(mixed * np.uint64(0x9E3779B97F4A7C15) + np.add.reduceat(value, start) + (stop - start).astype(np.uint64))
+        _, kinds, group = np.unique(mixed, return_index=True, return_inverse=True)
+        for ids, stop, start in streams:
+            like = kinds[group]
+            same = (stop - start) == (stop - start)[like]
+            if not same.all() or (ids != ids[_spans(start[like], stop[like])]).any():
+                return np.arange(n), np.arange(n)
+        return kinds, group
+
+    def described(self, a, b, end_a, end_b, first, stop, from_a, from_b) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Group texts of windows, and the ids of their links, from the groups ``first:stop`` of each."""
+        groups = _spans(first, stop)
+        # a group starts where the one before ends, the first of a window at the window's start
+        begin_a, begin_b = (np.where(groups > 0, e[groups - 1] + 1, 0) for e in (end_a, end_b))
+        lead = np.cumsum(stop - first) - (stop - first)
+        begin_a[lead], begin_b[lead] = from_a, from_b
+        n_a, n_b = end_a[groups] + 1 - begin_a, end_b[groups] + 1 - begin_b
+        # A's tokens of a group, then B's; each with the sign that follows it
+        both = np.cumsum(n_a + n_b)
+        out = np.empty(both[-1], np.int64)
+        base = 2 * len(self.bytes_a)
+        start = both - n_a - n_b
+        out[_spans(start, start + n_a)] = 2 * a[_spans(begin_a, begin_a + n_a)].astype(np.int64)
+        out[_spans(start + n_a, both)] = base + 2 * b[_spans(begin_b, begin_b + n_b)].astype(np.int64)
+        out[start + n_a - 1] += 1
+        out[both - 1] += 1
+        signs, cuts = out.tolist(), both[np.cumsum(stop - first) - 1].tolist()
+        written = self.written
+        texts = ["".join([written[c] for c in signs[i:j]])[:-1] for i, j in zip([0, *cuts], cuts)]
+        return texts, a[end_a[groups]].astype(np.int32), b[end_b[groups]].astype(np.int32)
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,6 +166,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
             for step in text_steps(batch, 1):
                 rows = []
                 for a, b in one.encode([t or "" for t in step.column(1).to_pylist()]):
+                    a, b = np.frombuffer(a, ID), np.frombuffer(b, ID)
                     rows.append((a, b, *(e + 1 for e in one.shared_ends(a, b))))
                 cols = [pa.array([r[i].astype(np.int32) for r in rows], pa.list_(pa.int32())) for i in range(4)]
                 yield pa.RecordBatch.from_arrays([step.column(0), *cols], names=["doc_id", "a_ids", "b_ids", "a_ends", "b_ends"])
@@ -113,63 +183,111 @@ _CHUNKS = (
 )
 
 
+def _spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """start[0], ..., stop[0] - 1, start[1], ..."""
+    n = stop - start
+    upto = np.cumsum(n)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(start - upto + n, n)
+
+
+class _Chunk:
+    """Distinct windows by their id tuples, with group text, links and how often they came."""
+
+    def __init__(self, number: int):
+        self.number = number
+        self.known: dict[tuple[bytes, bytes], int] = {}
+        self.texts: list[str] = []
+        #: links of the windows in order, in parts, and how many each window has
+        self.link_a, self.link_b, self.links = [], [], []
+        self.n_links = 0
+        self.counts = np.zeros(0, np.int64)
+        self.named = 0
+
+    def full(self) -> bool:
+        return len(self.texts) > CHUNK_WINDOWS or self.n_links > CHUNK_IDS or self.named > CHUNK_NAMES
+
+    def learn(self, key: tuple[bytes, bytes], text: str) -> int:
+        code = self.known[key] = len(self.texts)
+        self.texts.append(text)
+        return code
+
+    def count(self, codes: np.ndarray) -> None:
+        if len(self.counts) < len(self.texts):
+            self.counts = np.concatenate([self.counts, np.zeros(max(len(self.texts), 1 << 16), np.int64)])
+        self.counts[: len(self.texts)] += np.bincount(codes, minlength=len(self.texts))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
     """A row for each document and one for each distinct window of a chunk; memory is bounded by a chunk and a text."""
     one = loaded(Aligner, path_a, path_b=path_b)
-    base, number = TaskContext.get().partitionId() << 32, 0
+    base = TaskContext.get().partitionId() << 32
     ints = pa.list_(pa.int32())
     kinds = [("chunk", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string())]
     kinds += [("names", ints), ("times", ints), ("name", pa.int32()), ("n", pa.int64()), ("link_a", ints), ("link_b", ints)]
     schema = pa.schema(kinds)
-
-    known: dict[tuple[bytes, bytes], int] = {}
-    texts, links_a, links_b, counts = [], [], [], np.zeros(0, np.int64)
-    held = named = 0
+    size = ID.itemsize
+    chunk = _Chunk(base)
 
     def table(rows: int, cols: dict) -> pa.RecordBatch:
-        filled = [pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(rows, f.type) for f in schema]
+        filled = [cols[f.name].cast(f.type) if f.name in cols else pa.nulls(rows, f.type) for f in schema]
         return pa.RecordBatch.from_arrays(filled, schema=schema)
 
+    def lists(offsets: np.ndarray, values) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.asarray(values, np.int32)))
+
     def close() -> pa.RecordBatch:
-        n = len(texts)
-        cols = {"chunk": np.full(n, base + number), "name": np.arange(n, dtype=np.int32), "n": counts[:n], "link_a": links_a, "link_b": links_b}
-        return table(n, cols)
+        n, stops = len(chunk.texts), np.concatenate([[0], np.cumsum(np.concatenate(chunk.links))])
+        cols = {"chunk": pa.array(np.full(n, chunk.number)), "name": pa.array(np.arange(n, dtype=np.int32)), "n": pa.array(chunk.counts[:n])}
+        return table(n, cols | {"link_a": lists(stops, np.concatenate(chunk.link_a)), "link_b": lists(stops, np.concatenate(chunk.link_b))})
 
     for batch in batches:
         for step in text_steps(batch, 1):
-            made = []
-            ids = step.column(0).to_pylist()
-            for doc_id, (a, b) in zip(ids, one.encode([t or "" for t in step.column(1).to_pylist()])):
-                ends_a, ends_b = one.windows(a, b)
-                size = ID.itemsize
-                flat_a, flat_b = a.tobytes(), b.tobytes()
-                stop_a, stop_b = [size * e for e in ends_a], [size * e for e in ends_b]
-                keys = [(flat_a[i:j], flat_b[k:m]) for i, j, k, m in zip([0, *stop_a], stop_a, [0, *stop_b], stop_b)]
-                for key in set(keys).difference(known):
-                    text, la, lb = one.align(*key)
-                    known[key] = len(texts)
-                    texts.append(text)
-                    links_a.append(la)
-                    links_b.append(lb)
-                    held += len(key[0]) + len(key[1])
-                codes = np.array([known[k] for k in keys], np.int64)
-                names, times = np.unique(codes, return_counts=True)
-                if len(counts) < len(texts):
-                    counts = np.concatenate([counts, np.zeros(max(len(texts), 1 << 16), np.int64)])
-                counts[names] += times
-                named += len(names)
-                n = sum(len(links_a[c]) * t for c, t in zip(names.tolist(), times.tolist()))
-                sha = hashlib.sha256(";".join([texts[c] for c in codes.tolist()]).encode()).hexdigest() if len(a) else ""
-                # no token is empty, so a group ends with exactly one link
-                made.append((base + number, doc_id, len(a), len(b), n, n, sha, names.astype(np.int32), times.astype(np.int32)))
-            cols = dict(zip([f.name for f in schema][:9], zip(*made)))
-            yield table(len(made), cols)
-            if len(texts) > CHUNK_WINDOWS or held > CHUNK_IDS * ID.itemsize or named > CHUNK_NAMES:
+            coded = one.encode([t or "" for t in step.column(1).to_pylist()])
+            flat_a, flat_b = b"".join(a for a, _ in coded), b"".join(b for _, b in coded)
+            a, b = np.frombuffer(flat_a, ID), np.frombuffer(flat_b, ID)
+            n_a, n_b = (np.array([len(c[i]) // size for c in coded], np.int64) for i in (0, 1))
+            end_a, end_b = one.shared_ends(a, b)
+            last = one.windows(a, b, end_a, end_b)
+            stop_a, stop_b = end_a[last] + 1, end_b[last] + 1
+            kinds_of, group = one.distinct(a, b, stop_a, stop_b)
+            first = np.concatenate([[0], last + 1])
+            from_a, from_b = np.concatenate([[0], stop_a]), np.concatenate([[0], stop_b])
+            cuts = zip(*((size * v[kinds_of]).tolist() for v in (from_a[:-1], stop_a, from_b[:-1], stop_b)))
+            keys = [(flat_a[i:j], flat_b[k:m]) for i, j, k, m in cuts]
+            found = list(map(chunk.known.get, keys))
+            fresh = [i for i, code in enumerate(found) if code is None]
+            if fresh:
+                new = kinds_of[fresh]
+                texts, link_a, link_b = one.described(a, b, end_a, end_b, first[new], last[new] + 1, from_a[new], from_b[new])
+                for i, text in zip(fresh, texts):
+                    found[i] = chunk.learn(keys[i], text)
+                chunk.link_a.append(link_a)
+                chunk.link_b.append(link_b)
+                chunk.links.append(last[new] + 1 - first[new])
+                chunk.n_links += len(link_a)
+            numbers = np.array(found, np.int64)[group]
+            codes = numbers.tolist()
+            chunk.count(numbers)
+            # the windows of each document: up to the one that ends with its last token
+            upto = np.concatenate([[0], np.searchsorted(stop_a, np.cumsum(n_a), "right")])
+            doc = np.repeat(np.arange(len(coded)), np.diff(upto))
+            pairs, times = np.unique(doc << 32 | numbers, return_counts=True)
+            held = np.concatenate([[0], np.cumsum(np.bincount(pairs >> 32, minlength=len(coded)))])
+            links = np.diff(np.concatenate([[0], np.searchsorted(end_a, np.cumsum(n_a), "left")]))
+            texts, bounds = chunk.texts, upto.tolist()
+            shas = [
+                hashlib.sha256(";".join([texts[c] for c in codes[i:j]]).encode()).hexdigest() if j > i else ""
+                for i, j in zip(bounds, bounds[1:])
+            ]
+            cols = {"chunk": pa.array(np.full(len(coded), chunk.number)), "doc_id": step.column(0), "n_a": pa.array(n_a), "n_b": pa.array(n_b)}
+            # no token is empty, so a group ends with exactly one link
+            cols |= {"n_groups": pa.array(links), "n_links": pa.array(links), "groups_sha256": pa.array(shas, pa.string())}
+            yield table(len(coded), cols | {"names": lists(held, pairs & 0xFFFFFFFF), "times": lists(held, times)})
+            chunk.named += len(pairs)
+            if chunk.full():
                 yield close()
-                known.clear()
-                texts, links_a, links_b, counts, held, named = [], [], [], np.zeros(0, np.int64), 0, 0
-                number += 1
-    if texts:
+                chunk = _Chunk(chunk.number + 1)
+    if chunk.texts:
         yield close()
 
 

@@ -43,7 +43,9 @@ DOCUMENTS_MARK, SEEK_MARK, FOOTER_MARK, WITH_CHECKSUM = 0x184D2A50, 0x184D2A5E,
 FRAME_IDS = 1 << 20
 #: Compressed bytes after which a file ends at the next document.
 FILE_BYTES = 256_000_000
-LEVEL = 3
+LEVEL = 1
+#: Tasks that files are dealt over at most when all are read.
+READ_TASKS = 10_000
 
 _HEAD, _ENTRY, _FOOTER = struct.Struct("<II"), np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")]), struct.Struct("<IBI")
 
@@ -258,8 +260,8 @@ def summaries(manifest: DataFrame) -> DataFrame:
         files = ((p, s) for b in batches for p, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         return _batches((d[:4] for f in files for d in _documents(*f)), _FIELDS)
 
-    # a file is read by one task; files are dealt out by name
-    dealt = manifest.select("path", "file_start").repartition(F.col("path"))
+    # a file is read by one task; a stated number of tasks is not merged into fewer
+    dealt = manifest.select("path", "file_start").repartition(min(max(manifest.count(), 1), READ_TASKS), "path")
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -26,8 +26,8 @@ _CUT = re.compile(r" (?=\S)(?<=\S )")
 #: White space but the space itself.
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
-#: Parts remembered at most, and the longest one worth remembering; both bound memory, not results.
-MEMO_PARTS, MEMO_CHARS = 500_000, 64
+#: Parts of a generation that are remembered, and the longest one worth remembering; both bound memory, not results.
+MEMO_PARTS, MEMO_CHARS = 250_000, 64
 
 #: New parts that one call of the byte-level tokenizer encodes.
 RUN = 400
@@ -35,39 +35,84 @@ RUN = 400
 ID = np.dtype("<u4")
 
 
+def _plain(text: str) -> bool:
+    """Whether every space of a text stands between characters that are no white space."""
+    if text[:1].isspace() or text[-1:].isspace() or "  " in text:
+        return False
+    return not any(c in text and (" " + c in text or c + " " in text) for c in _OTHER_SPACE)
+
+
 def cut(text: str) -> list[str]:
     """Parts of a text; all but the first stand for a space and the part."""
-    plain = not (text[:1].isspace() or text[-1:].isspace() or "  " in text)
-    if plain and not any(c in text and (" " + c in text or c + " " in text) for c in _OTHER_SPACE):
-        return text.split(" ")
-    return _CUT.split(text)
-
-
-class _Parts:
-    """Ids of parts by ``encode``, a function of a list of strings; what was seen before is looked up."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self._encode = encode
-        self._memo: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[list[str]]) -> list[bytes]:
-        memo, seen = self._memo, set()
-        for parts in texts:
-            seen.update(parts)
-        new = list(seen.difference(memo))
-        if len(memo) + len(new) > MEMO_PARTS:
-            memo.clear()
-            new = list(seen)
-        memo.update(zip(new, self._encode(new)))
-        out = [b"".join(map(memo.__getitem__, parts)) for parts in texts]
-        if len(memo) > MEMO_PARTS:
-            memo.clear()
-        for p in new:
-            if len(p) > MEMO_CHARS:
-                memo.pop(p, None)
+    return text.split(" ") if _plain(text) else _CUT.split(text)
+
+
+class Memo:
+    """Values of parts by ``make``, a function of a list of distinct parts; what was seen lately is looked up.
+
+    Two generations: when the newer one is full it becomes the older one, and
+    parts that come again move back to the newer. Frequent parts stay.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list]):
+        self._make = make
+        self._new: dict[str, object] = {}
+        self._old: dict[str, object] = {}
+
+    def __call__(self, parts: list[str]) -> list:
+        """The values of distinct parts."""
+        out = list(map(self._new.get, parts))
+        for i, v in enumerate(out):
+            if v is None:
+                out[i] = self._old.get(parts[i])
+        rest = [i for i, v in enumerate(out) if v is None]
+        for i, v in zip(rest, self._make([parts[i] for i in rest])):
+            out[i] = v
+        self._new.update((p, v) for p, v in zip(parts, out) if len(p) <= MEMO_CHARS)
+        if len(self._new) > MEMO_PARTS:
+            self._old, self._new = self._new, {}
         return out
 
 
+class Parted:
+    """Texts as numbers into their distinct parts: ``first[i]`` and, for ``at[i]:at[i + 1]``, ``rest``."""
+
+    def __init__(self, texts: list[str], whole: Callable[[str], bool] = lambda t: False):
+        plain = pa.array(texts, pa.string())
+        odd = [i for i, t in enumerate(texts) if whole(t) or not _plain(t)]
+        lists = pc.split_pattern(plain, " ") if len(odd) < len(texts) else pa.array([[]] * len(texts), pa.list_(pa.string()))
+        if odd:
+            # these few are cut one by one and put in place of what the plain cut made of them
+            own = pa.array([[texts[i]] if whole(texts[i]) else _CUT.split(texts[i]) for i in odd], pa.list_(pa.string()))
+            order = np.arange(len(texts))
+            order[odd] = len(texts) + np.arange(len(odd))
+            lists = pa.concat_arrays([lists, own]).take(pa.array(order))
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        numbers = coded.indices.to_numpy()
+        self.parts: list[str] = coded.dictionary.to_pylist()
+        offsets -= offsets[0]
+        self.first = numbers[offsets[:-1]]
+        keep = np.ones(len(numbers), bool)
+        keep[offsets[:-1]] = False
+        self.rest, self.at, self.numbers, self.bounds = numbers[keep], offsets - np.arange(len(offsets)), numbers, offsets
+
+
+def gathered(numbers: np.ndarray, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of ``values[n]`` for each number, one after the other, and where each ends."""
+    sizes = np.array([len(v) for v in values], np.int64) // ID.itemsize
+    flat, start = np.frombuffer(b"".join(values), ID), np.cumsum(sizes) - sizes
+    lengths = sizes[numbers]
+    stop = np.cumsum(lengths)
+    return flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(start[numbers] - stop + lengths, lengths)], stop
+
+
+def packed_between(flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Packed ids between neighbouring ends."""
+    data, cuts = flat.tobytes(), (ends * ID.itemsize).tolist()
+    return [data[i:j] for i, j in zip([0, *cuts], cuts)]
+
+
 class ByteLevel:
     """Byte-level BPE from a ``tokenizers`` file. ``special=False`` takes the strings of special tokens as plain text."""
 
@@ -80,7 +125,7 @@ class ByteLevel:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        self._divisible = bool(
+        self.divisible = bool(
             spec.get("normalizer") is None
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
@@ -88,8 +133,8 @@ class ByteLevel:
             and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or " " in t["content"] for t in spec.get("added_tokens", ()))
         )
         self._widths = np.array([len(b) for b in self.token_bytes()], np.int64)
-        self._first = _Parts(self._whole)
-        self._spaced = _Parts(self._after_spaces)
+        self._first = Memo(self._whole)
+        self._spaced = Memo(self.after_spaces)
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
         return (array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)) if texts else iter(())
@@ -97,7 +142,7 @@ class ByteLevel:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return list(self._ids(texts))
 
-    def _after_spaces(self, parts: list[str]) -> list[bytes]:
+    def after_spaces(self, parts: list[str]) -> list[bytes]:
         """Ids of a space and each part: runs of parts are encoded together and divided where their bytes end."""
         out: list[bytes | None] = [None] * len(parts)
         even = [i for i, p in enumerate(parts) if p and len(p) <= MEMO_CHARS and not (p[0].isspace() or p[-1].isspace())]
@@ -115,23 +160,23 @@ class ByteLevel:
             out[i] = ids
         return out
 
-    def encode(self, texts: list[str], parts: list[list[str]] | None = None) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        if not self._divisible:
+        if not self.divisible or not texts:
             return self._whole(texts)
-        parts = parts or [cut(t) for t in texts]
-        return [a + b for a, b in zip(self._first([p[:1] for p in parts]), self._spaced([p[1:] for p in parts]))]
+        cuts = Parted(texts)
+        rest, stops = gathered(cuts.rest, self._spaced(cuts.parts))
+        ends = np.concatenate([[0], stops])[cuts.at[1:]]
+        heads = dict(zip(distinct := sorted(set(cuts.first.tolist())), self._first([cuts.parts[i] for i in distinct])))
+        return [heads[h] + tail for h, tail in zip(cuts.first.tolist(), packed_between(rest, ends))]
 
-    def encode_after_space(self, texts: list[str], parts: list[list[str]] | None = None) -> list[bytes]:
+    def encode_after_space(self, texts: list[str]) -> list[bytes]:
         """Packed ids of a space and each text; a text that starts with white space is encoded whole."""
-        if not self._divisible:
+        if not self.divisible or not texts:
             return self._whole([" " + t for t in texts])
-        parts = parts or [cut(t) for t in texts]
-        odd = [i for i, t in enumerate(texts) if t[:1].isspace() or not t]
-        out = self._spaced([[] if t[:1].isspace() or not t else p for t, p in zip(texts, parts)])
-        for i, ids in zip(odd, self._whole([" " + texts[i] for i in odd])):
-            out[i] = ids
-        return out
+        cuts = Parted(texts, lambda t: t[:1].isspace())
+        flat, stops = gathered(cuts.numbers, self._spaced(cuts.parts))
+        return packed_between(flat, stops[cuts.bounds[1:] - 1])
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of every id: entries of the vocabulary through the byte-level alphabet, added tokens as they stand."""
@@ -162,21 +207,23 @@ class Pieces:
         joins = any(a != "▁" and b == "▁" for p in pieces for a, b in zip(p, p[1:]))
         # normalisation must leave a text alone, or parts and whole might differ
         probe = "A  ﬁ ①\té "
-        self._divisible = not joins and self._decoded(self._model.encode(probe)) == (" " + probe).encode()
-        self._parts = _Parts(self._whole)
+        self.divisible = not joins and self._decoded(self._model.encode(probe)) == (" " + probe).encode()
+        self._parts = Memo(self.whole)
 
     def _decoded(self, ids: Sequence[int]) -> bytes:
         return b"".join(_piece_bytes(self._model, i) for i in ids)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts, each encoded in one go."""
         return [array("I", ids).tobytes() for ids in self._model.encode(texts, num_threads=1)] if texts else []
 
-    def encode(self, texts: list[str], parts: list[list[str]] | None = None) -> list[bytes]:
-        if not self._divisible:
-            return self._whole(texts)
-        # the model reads U+2581 as a space: a text with it is no union of parts
-        parts = parts or [cut(t) for t in texts]
-        return self._parts([[t] if "▁" in t else p for t, p in zip(texts, parts)])
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text. U+2581 is read as a space: a text with it is no union of parts."""
+        if not self.divisible or not texts:
+            return self.whole(texts)
+        cuts = Parted(texts, lambda t: "▁" in t)
+        flat, stops = gathered(cuts.numbers, self._parts(cuts.parts))
+        return packed_between(flat, stops[cuts.bounds[1:] - 1])
 
     def token_bytes(self) -> list[bytes]:
         return [_piece_bytes(self._model, i) for i in range(self._model.get_piece_size())]

@@ -203,7 +203,7 @@ def test_chunks_change_nothing(spark, monkeypatch):
     chunks = {r["chunk"] for r in rows}
     assert len(chunks) > 3
     for c in chunks:
-        named = Counter()
+        named: Counter = Counter()
         for r in rows:
             if r["chunk"] == c and r["doc_id"] is not None:
                 named.update(dict(zip(r["names"], r["times"])))
