@@ -164,7 +164,7 @@ def _write_part(batches: Iterator[pa.RecordBatch], root: str, tokenizer: str, en
         done.append((path, *first, last, out.n_docs, out.ids, out.bytes))
 
     for batch in batches:
-        for step in text_steps(batch, 2):
+        for step in text_steps(batch, 2, 10_000_000):
             ids, marks, texts = (c.to_pylist() for c in step.columns)
             for doc_id, mark, packed in zip(ids, marks, encoder.encode([t or "" for t in texts])):
                 if out is None:

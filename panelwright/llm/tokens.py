@@ -26,8 +26,11 @@ _CUT = re.compile(r" (?=\S)(?<=\S )")
 #: White space but the space itself.
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
+#: Marks that end words.
+_MARKS = ".,;:!?"
+
 #: Parts of a generation that are remembered, and the longest one worth remembering; both bound memory, not results.
-MEMO_PARTS, MEMO_CHARS = 250_000, 64
+MEMO_PARTS, MEMO_CHARS = 400_000, 64
 
 #: New parts that one call of the byte-level tokenizer encodes.
 RUN = 400
@@ -134,7 +137,7 @@ class ByteLevel:
         )
         self._widths = np.array([len(b) for b in self.token_bytes()], np.int64)
         self._first = Memo(self._whole)
-        self._spaced = Memo(self.after_spaces)
+        self._spaced = Memo(self._by_stems)
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
         return (array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)) if texts else iter(())
@@ -142,6 +145,21 @@ class ByteLevel:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return list(self._ids(texts))
 
+    def _by_stems(self, parts: list[str]) -> list[bytes]:
+        """Ids of a space and each part. Marks behind a letter or digit are a unit of their own, so the word before them is looked up without them."""
+        stems = [p.rstrip(_MARKS) for p in parts]
+        marked = [i for i, (p, w) in enumerate(zip(parts, stems)) if len(w) < len(p) and w[-1:].isalnum()]
+        others = sorted(set(range(len(parts))).difference(marked))
+        out: list[bytes] = [b""] * len(parts)
+        for i, ids in zip(others, self.after_spaces([parts[i] for i in others])):
+            out[i] = ids
+        if marked:
+            words, tails = sorted({stems[i] for i in marked}), sorted({parts[i][len(stems[i]) :] for i in marked})
+            word, tail = dict(zip(words, self._spaced(words))), dict(zip(tails, self._first(tails)))
+            for i in marked:
+                out[i] = word[stems[i]] + tail[parts[i][len(stems[i]) :]]
+        return out
+
     def after_spaces(self, parts: list[str]) -> list[bytes]:
         """Ids of a space and each part: runs of parts are encoded together and divided where their bytes end."""
         out: list[bytes | None] = [None] * len(parts)

@@ -24,7 +24,7 @@ ODD = [
     "", " ", "  a b", "a  b c", "a\n b", "a \nb", "x　 y", "▁x y▁ z", "foo<|endoftext|> bar <|endoftext|>baz", "don't we'll  '  s",
     "a\x1c b", "\x85 b c", "é f", "1 2  3 4\t 5 ", "\n", "<s> </s> <0x41>", "中文 字", "ends ", "a" * 5000, "x y " * 3000, "x\x00y z", "é ​ z",
 ]
-PIECES = st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", ".", "'s", "é", "▁", "\t", "1", "<|endoftext|>", "字", " "]), max_size=12).map("".join)
+PIECES = st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", ".", "?!", "1,", "_.", "²;", "'s", "é", "▁", "\t", "1", "<|endoftext|>", "字", " "]), max_size=12).map("".join)
 
 
 @pytest.fixture(scope="module")
