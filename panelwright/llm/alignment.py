@@ -30,7 +30,10 @@ from panelwright.llm.tokens import ID, ByteLevel, Memo, Parted, Pieces, gathered
 from panelwright.semantics import BROADCAST_BYTES, persisted, row_bytes
 
 #: A chunk ends above these: distinct windows, their links, and windows named by documents. They bound a task's memory.
-CHUNK_WINDOWS, CHUNK_IDS, CHUNK_NAMES = 400_000, 8_000_000, 6_000_000
+CHUNK_WINDOWS, CHUNK_IDS, CHUNK_NAMES = 150_000, 4_000_000, 3_000_000
+
+#: Parts remembered in a generation.
+PARTS = 120_000
 
 #: Parts that a frequent pair's windows are dealt over where the table of pairs is too large to broadcast.
 SALTS = 32
@@ -47,7 +50,7 @@ class Aligner:
         #: ids as text with the sign after them: "," inside a group, "|" after A's last, ";" after B's last
         self.written = [f"{i}{c}" for n, last in ((len(self.bytes_a), "|"), (len(self.bytes_b), ";")) for i in range(n) for c in (",", last)]
         #: part -> (ids of A, ids of B, whether both give its bytes back)
-        self._parts = Memo(self._both)
+        self._parts = Memo(self._both, PARTS)
 
     def _same(self, ids: bytes, table: list[bytes], whole: bytes) -> bool:
         return b"".join(map(table.__getitem__, array("I", ids))) == whole

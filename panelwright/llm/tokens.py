@@ -57,8 +57,8 @@ class Memo:
     parts that come again move back to the newer. Frequent parts stay.
     """
 
-    def __init__(self, make: Callable[[list[str]], list]):
-        self._make = make
+    def __init__(self, make: Callable[[list[str]], list], limit: int = MEMO_PARTS):
+        self._make, self._limit = make, limit
         self._new: dict[str, object] = {}
         self._old: dict[str, object] = {}
 
@@ -72,7 +72,7 @@ class Memo:
         for i, v in zip(rest, self._make([parts[i] for i in rest])):
             out[i] = v
         self._new.update((p, v) for p, v in zip(parts, out) if len(p) <= MEMO_CHARS)
-        if len(self._new) > MEMO_PARTS:
+        if len(self._new) > self._limit:
             self._old, self._new = self._new, {}
         return out
 
