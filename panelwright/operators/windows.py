@@ -10,12 +10,13 @@ so the result equals the uncut window exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwright.semantics import BROADCAST_BYTES, null_safe_join, row_bytes
+from panelwright.semantics import BROADCAST_BYTES, null_safe_join, persisted, row_bytes
 
 _BLK, _HALO = "__block", "__halo"
 
@@ -301,29 +302,50 @@ def tail_mean(df: DataFrame, panel: Panel, cols: Sequence[str], n: int, min_rows
 
 
 def ewm_prior(df: DataFrame, panel: Panel, col: str, span: int, out: str) -> DataFrame:
-    """Exponentially weighted mean of earlier rows, adjusted weights, nulls age.
-
-    Meant for panels with one row per entity and period (team matches).
-    A null row leaves the ratio of the two weighted sums as it was, so the
-    mean is needed on rows with a value only and then carried forward. There
-    the values further back than ``depth`` rows weigh less than one double
-    rounding step of the newest one.
+    """Exponentially weighted mean of all earlier rows, adjusted weights, nulls age.
+
+    A scan in segments. A value that comes so late after the one before that
+    everything older weighs less than the rounding of one double starts a new
+    segment. Inside a segment rows are cut into blocks by their number; in a
+    block weights relative to its start are plain sums over earlier rows, and
+    a block hands its two sums on to the next one. A block is three such
+    gaps long: what it received itself is below rounding by then, so no sum
+    travels further, and no weight leaves the range of a double. The mean of
+    a row without value is that of the last value before it, as nulls age
+    both sums alike. All steps are ``add_prior``, which divides heavy entities.
     """
     keep = 1 - 2 / (span + 1)
-    depth = 1
-    while keep**depth > 2.0**-60:
-        depth += 1
-    w = panel.window()
+    if keep <= 0:
+        return add_prior(df, panel, [FillPrior(col, out)])
+    gap = math.ceil((60 * math.log(2) - math.log(1 - keep)) / -math.log(keep))
+    block = 3 * gap
+    # a divided entity is read several times by each step: the steps are staged then
+    heavy = bool(panel.period) and _heavy_blocks(df, panel) is not None
+    staged = (lambda d: persisted(d, "ewm")) if heavy else (lambda d: d)
     has = F.col(col).isNotNull()
-    numbered = df.withColumn("__i", F.row_number().over(w)).withColumn("__has", has)
-    dense = Window.partitionBy(*panel.entity, "__has").orderBy(*panel.order).rowsBetween(-depth, 0)
-    numbered = numbered.withColumn("__past", F.when(has, F.collect_list(F.struct("__i", F.col(col).alias("x"))).over(dense)))
-    weight = lambda e: F.pow(F.lit(keep), F.col("__i") - e["__i"])
-    num = F.aggregate("__past", F.lit(0.0), lambda a, e: a + weight(e) * e["x"])
-    den = F.aggregate("__past", F.lit(0.0), lambda a, e: a + weight(e))
-    incl = numbered.withColumn("__ewm", F.when(has, num / den))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return incl.select(*df.columns, F.last("__ewm", ignorenulls=True).over(before).alias(out))
+    i, seg, blk = "__ewm_i", "__ewm_seg", "__ewm_blk"
+    rows = staged(add_prior(df, panel, [Expanding(None, i, "rows")]).withColumn("__ewm_at", F.when(has, F.col(i))))
+    rows = staged(add_prior(rows, panel, [FillPrior("__ewm_at", "__ewm_last")]))
+    late = F.col("__ewm_last").isNull() | (F.col(i) - F.col("__ewm_last") > gap)
+    rows = rows.withColumn("__ewm_new", F.when(has & late, 1).otherwise(0))
+    rows = staged(add_prior(rows, panel, [Expanding("__ewm_new", "__ewm_seg0", default=0)]))
+    weight = F.pow(F.lit(1 / keep), F.col(i) % block)
+    rows = rows.withColumns(
+        {
+            seg: F.col("__ewm_seg0") + F.col("__ewm_new"),
+            blk: F.floor(F.col(i) / block),
+            "__ewm_x": F.when(has, weight * F.col(col)),
+            "__ewm_w": F.when(has, weight),
+        }
+    )
+    here = (seg, blk)
+    rows = staged(add_prior(rows, panel, [Expanding(f"__ewm_{c}", f"__ewm_s{c}", default=0.0, within=here) for c in ("x", "w")]))
+    keys = [*panel.entity, *here]
+    handed = rows.where(has).groupBy(*keys).agg(*(F.sum(f"__ewm_{c}").alias(f"__ewm_p{c}") for c in ("x", "w")))
+    rows = null_safe_join(rows, handed.withColumn(blk, F.col(blk) + 1), keys, "left")
+    total = {c: F.col(f"__ewm_s{c}") + F.coalesce(F.col(f"__ewm_p{c}"), F.lit(0.0)) * keep**block + F.col(f"__ewm_{c}") for c in ("x", "w")}
+    rows = rows.withColumn("__ewm", F.when(has, total["x"] / total["w"])).select(*df.columns, "__ewm")
+    return add_prior(staged(rows), panel, [FillPrior("__ewm", out)]).drop("__ewm")
 
 
 def conditional_expanding(
@@ -360,19 +382,25 @@ def tier_award(
 ) -> DataFrame:
     """Award by dense rank inside a group; equal values share, only positives count.
 
-    Works on the distinct values of a group, limited to the top few before the
-    shuffle, so a crowded group never sits in one task.
+    The best distinct values of a group become one row of thresholds: values
+    are made distinct map-side, then limited to the top few before they move.
+    Every row compares with its group's thresholds; no row is joined by its
+    value. A null group or value has no award.
     """
+    keys, marks = list(group), [f"__tier{i}" for i in range(len(tiers))]
     top = (
         df.where(F.col(value) > 0)
-        .groupBy(*group, value)
+        .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__rk", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(value))))
+        .withColumn("__rk", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value))))
         .where(F.col("__rk") <= len(tiers))
-        .select(*group, value, F.element_at(F.array(*(F.lit(t) for t in tiers)), F.col("__rk")).alias(out))
+        .groupBy(*keys)
+        .agg(*(F.max(F.when(F.col("__rk") == i + 1, F.col(value))).alias(m) for i, m in enumerate(marks)))
     )
-    joined = df.join(top, [*group, value], "left")
-    return joined.select(*df.columns, F.coalesce(F.col(out), F.lit(0)).alias(out))
+    award = F.lit(0)
+    for tier, mark in reversed(list(zip(tiers, marks))):
+        award = F.when(F.col(value) == F.col(mark), F.lit(tier)).otherwise(award)
+    return df.join(top, keys, "left").select(*df.columns, award.alias(out))
 
 
 def densify(

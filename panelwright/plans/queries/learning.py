@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.operators import learning as L, metrics as E
+from panelwright.operators import chain as C, learning as L, metrics as E, owners as O
 from panelwright.operators.ordering import time_folds
 from panelwright.operators.windows import Expanding, Lag, add_prior, rolling_features
-from panelwright.plans import features as T
+from panelwright.plans import features as T, future as N, models as M
 from panelwright.plans.queries.scoring import r6
 from panelwright.plans.registry import query
-from panelwright.plans.standins import PLAYER, PM, TEAM, TM, player_match, table, team_match
+from panelwright.plans.standins import PLAYER, PM, SIDES, TEAM, TM, player_match, sides, table
 from panelwright.semantics import persisted
 
 _FOLDS = PM + """, n AS (SELECT *, row_number() OVER (ORDER BY ts, match_row) - 1 AS i, count(*) OVER () AS c FROM pm),
@@ -91,7 +91,7 @@ def _fit_binary(spark, sf):
 def _fit_piecewise(spark, sf):
     df = _form(spark, sf)
     start = F.col("minutes") >= 60
-    model = L.fit_piecewise(df.where("season < 2"), _FORM, "minutes", start, L.piecewise_weight(), 60.0, 90.0, rounds=5)
+    model = L.fit_piecewise(df.where("season < 2"), _FORM, "minutes", start, L.piecewise_weight(), 60.0, 90.0)
     scored = model.predict(df.where(start & (F.col("season") == 2)), "pred")
     return scored.agg(F.count(F.lit(1)).alias("n"), r6(F.min("pred"), "low"), r6(F.max("pred"), "high"), r6(E.mae("minutes", "pred"), "mae"))
 
@@ -99,7 +99,7 @@ def _fit_piecewise(spark, sf):
 @query("q_two_stage")
 def _two_stage(spark, sf):
     df = _form(spark, sf)
-    model = L.fit_minutes(df.where("season < 2"), _FORM, rounds=5)
+    model = L.fit_minutes(df.where("season < 2"), _FORM)
     scored = model.predict(df.where("season = 2"))
     m = F.col("minutes")
     return scored.agg(
@@ -114,46 +114,59 @@ def _two_stage(spark, sf):
 def _fit_rate(spark, sf):
     df = _form(spark, sf).withColumn("saves_per90", F.col("saves") / F.greatest(F.col("minutes") / 90, F.lit(0.01)))
     keeper = (F.col("position") == 0) & (F.col("minutes") >= 20)
-    model = L.fit_rate(df.where("season < 2"), _FORM, "saves_per90", keeper, 12.0, rounds=5)
+    model = L.fit_rate(df.where("season < 2"), _FORM, "saves_per90", keeper, 12.0)
     scored = model.predict(df.where(keeper & (F.col("season") == 2)), "pred")
     return scored.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("pred"), "mean_pred"), r6(E.mae("saves_per90", "pred"), "mae"))
 
 
-_OWNER = ["goals", "shots", "tackles", "touches", "saves", "blocks", "key_passes", "recoveries", "clearances"]
+def owner_table(spark, sf):
+    """The embedding of every side's manager, staged (one row per side), and its basis."""
+    pm = player_match(spark, sf)
+    listed = sides(pm)
+    stays = O.spells(listed, ["team_no"], "manager_id", "d")
+    out, basis = O.owner_embedding(pm, listed.drop("manager_id"), stays, ["d", "match_id", "team_no"], "d")
+    return persisted(out, "owners"), basis
 
 
 @query("q_embedding")
 def _embedding(spark, sf):
-    feats = [*rolling_features(_OWNER, [20]), Expanding(None, "n_prior_games", "rows")]
-    tm = add_prior(team_match(spark, sf), TEAM, feats)
-    out = L.fit_embedding(persisted(tm, "owners"), [f"{c}_roll20" for c in _OWNER], 8, F.col("n_prior_games") >= 3)
-    return out.select("match_id", "team_no", *(F.round(f"manager_emb_{i}", 6).alias(f"manager_emb_{i}") for i in range(8)))
+    out, _ = owner_table(spark, sf)
+    return out.select("match_id", "team_no", *(r6(c) for c in M.EMBEDDING))
+
+
+def _form_folds(spark, sf):
+    """The small feature frame with five folds along the calendar, staged."""
+    df = _form(spark, sf)
+    return C.with_folds(df, C.period_folds(df, M.CALENDAR, 5), M.CALENDAR)
 
 
 @query("q_search")
 def _search(spark, sf):
-    df = persisted(time_folds(_form(spark, sf), ["slot"], ["ts", "match_row"], 2), "folds")
-    grid = [{"features": fs, "reg": reg} for fs in (2, len(_FORM)) for reg in (0.001, 0.1)]
+    """Number of inputs, best first by mutual information on the first fold, times the penalty; five folds, the better third goes on."""
+    df = _form_folds(spark, sf)
+    ranking = L.rank_table(L.mutual_information(df.where("fold = 0"), _FORM, "goals", bins=8)).orderBy("position").collect()
+    best = [r.feature for r in ranking]
+    space = [{"features": n, "reg": reg} for n in range(1, len(best) + 1) for reg in (0.001, 0.01, 0.1, 1.0)]
 
     def fit(train, params):
-        return L.fit_count(train, _FORM[: params["features"]], "shots", 4.0, reg=params["reg"]).predict
+        return L.fit_count(train, best[: params["features"]], "goals", 4.0, reg=params["reg"]).predict
 
-    return L.search(df, grid, "fold", 2, fit, E.poisson_deviance("shots", "__pred"))
+    return L.search(df.where("minutes >= 1"), space, "fold", 5, fit, E.poisson_deviance("goals", "__pred")).withColumn("score", F.round("score", 6))
 
 
 @query("q_importance")
 def _importance(spark, sf):
     df = _form(spark, sf)
-    model = L.fit_piecewise(df, _FORM, "minutes", F.col("minutes") >= 1, F.lit(1.0), 1.0, 90.0, rounds=5)
+    model = L.fit_piecewise(df, _FORM, "minutes", F.col("minutes") >= 1, F.lit(1.0), 1.0, 90.0)
     return L.importance_table(spark, model).where("position <= 5")
 
 
 @query("q_permutation")
 def _permutation(spark, sf):
-    df = persisted(time_folds(_form(spark, sf), ["slot"], ["ts", "match_row"], 3), "folds")
-    model = L.fit_count(df.where("fold < 3"), _FORM[:3], "shots", 4.0)
-    scores = L.permutation_importance(df.where("fold = 3"), "match_row", model, lambda p: E.mae("shots", p), repeats=2)
-    return L.rank_table(scores)
+    """All inputs, five repeats, on the last fold."""
+    df = _form_folds(spark, sf).where("minutes >= 1")
+    model = L.fit_count(df.where("fold < 5"), _FORM, "shots", 4.0)
+    return L.rank_table(L.permutation_importance(df.where("fold = 5"), "match_row", model, lambda p: E.mae("shots", p)))
 
 
 @query(
@@ -184,35 +197,35 @@ def _select(spark, sf):
     return L.select_features(L.rank_table(scores), 2, ["PROMO"]).select("feature", "position")
 
 
-def _chain(train):
-    keeper = (F.col("position") == 0) & (F.col("minutes") >= 20)
-    return L.train_all(train, _FORM, {"goals": 4.0, "assists": 4.0, "shots": 30.0}, ["yellow"], {"saves": (keeper, 12.0)}, rounds=3)
+def _tables(spark, sf):
+    """The feature table and the team panel, whole, staged once."""
+    pm = player_match(spark, sf)
+    owners, _ = owner_table(spark, sf)
+    players = persisted(T.player_features(pm, PLAYER, TEAM, owners=owners), "players")
+    return M.prepared(players), persisted(T.team_panel_features(pm, TEAM, owners=owners), "teams")
+
+
+def _held_out(spark, sf):
+    """Fitted on the seasons before the last, and the last one's tables with every prediction."""
+    players, teams = _tables(spark, sf)
+    chain = M.train_chain(players.where("season < 2"), teams.where("season < 2"))
+    return chain, chain.predict({"teams": teams.where("season = 2"), "players": players.where("season = 2")})
 
 
 @query("q_train_all")
 def _train_all(spark, sf):
-    df = _form(spark, sf)
-    scored = _chain(df.where("season < 2")).predict(df.where("season = 2"))
-    cols = [c for c in scored.columns if c.startswith("pred_")]
-    return scored.select("match_row", *(r6(c) for c in cols))
+    """Every model of the chain, cross-fitted on two seasons, on the rows of the third."""
+    _, scored = _held_out(spark, sf)
+    cols = [c for c in scored["players"].columns if c.startswith("pred_")]
+    return scored["players"].select("match_row", *(r6(c) for c in cols))
 
 
 @query("q_holdout_eval")
 def _holdout_eval(spark, sf):
-    """Every model of the chain, fitted as deployed, scored on the last season."""
-    df = _form(spark, sf)
-    scored = _chain(df.where("season < 2")).predict(df.where("season = 2 AND minutes >= 1"))
-    keeper = F.col("position") == 0
-    wide = scored.agg(
-        E.mae("minutes", "pred_minutes").alias("minutes_mae"),
-        E.huber("minutes", "pred_minutes").alias("minutes_huber"),
-        *(E.poisson_deviance(c, f"pred_{c}").alias(f"{c}_deviance") for c in ("goals", "assists", "shots")),
-        *(E.mae(c, f"pred_{c}").alias(f"{c}_mae") for c in ("goals", "assists", "shots")),
-        E.log_loss("yellow", "pred_yellow").alias("yellow_log_loss"),
-        E.mae("saves", "pred_saves", keeper).alias("saves_mae"),
-    )
-    sections = {s: [c for c in wide.columns if c.startswith(s)] for s in ("minutes", "goals", "assists", "shots", "yellow", "saves")}
-    return E.metric_rows(wide, sections).select("section", "metric", r6("value"))
+    """Every model of the chain, fitted as deployed, scored on the last season: errors of each, then points."""
+    _, scored = _held_out(spark, sf)
+    played = persisted(M.points(scored["players"].where("minutes >= 1"), scored["teams"]), "scored")
+    return M.evaluate(played, scored["teams"]).select("section", "metric", r6("value"))
 
 
 # ---- feature tables ------------------------------------------------------
@@ -220,10 +233,21 @@ def _holdout_eval(spark, sf):
 _W = "(PARTITION BY player_id ORDER BY ts, match_row ROWS BETWEEN"
 
 
-@query(
-    "q_feature_table",
-    TM
-    + f""", x AS (SELECT pm.*, CASE WHEN minutes >= 20 THEN least(shots / greatest(minutes / 90, 0.01), 8.0) END AS sp, tackles / greatest(minutes / 90, 0.01) AS tp,
+_EXACT = ["match_row", "goals_roll10", "lifetime_saves", "current_season_apps", "is_def"]
+_ROUNDED = [
+    "shots_per90_roll5",
+    "tackles_per90_roll3",
+    "defcon_roll7",
+    "team_goals_roll5",
+    "team_conceded_roll30",
+    "opp_conceded_roll5",
+    "team_goals_x_opp_conceded",
+    "last_minutes",
+]
+_FEATURE_SQL = (
+    SIDES
+    + f""", om AS (SELECT match_id, team_no, row_number() OVER (PARTITION BY manager_id ORDER BY d, match_id, team_no) > 3 AS has_form FROM games),
+    x AS (SELECT pm.*, CASE WHEN minutes >= 20 THEN least(shots / greatest(minutes / 90, 0.01), 8.0) END AS sp, tackles / greatest(minutes / 90, 0.01) AS tp,
         CASE WHEN position = 1 THEN clearances + blocks + interceptions + tackles ELSE clearances + blocks + interceptions + tackles + recoveries END AS dc FROM pm),
     p AS (SELECT match_row, player_id, season, gameweek, match_id, team_no, opp_no, avg(sp) OVER {_W} 5 PRECEDING AND 1 PRECEDING) AS sp5, avg(tp) OVER {_W} 3 PRECEDING AND 1 PRECEDING) AS tp3,
         avg(dc) OVER {_W} 7 PRECEDING AND 1 PRECEDING) AS dc7, sum(goals) OVER {_W} 10 PRECEDING AND 1 PRECEDING) AS g10, sum(saves) OVER {_W} UNBOUNDED PRECEDING AND 1 PRECEDING) AS lsv,
@@ -237,31 +261,43 @@ _W = "(PARTITION BY player_id ORDER BY ts, match_row ROWS BETWEEN"
     SELECT p.match_row, round(COALESCE(sp5, 0), 6) AS shots_per90_roll5, round(COALESCE(tp3, 0), 6) AS tackles_per90_roll3, round(COALESCE(dc7, 0), 6) AS defcon_roll7,
       CAST(COALESCE(g10, 0) AS BIGINT) AS goals_roll10, CAST(COALESCE(lsv, 0) AS BIGINT) AS lifetime_saves, apps AS current_season_apps, is_def,
       round(COALESCE(a.tg5, 0), 6) AS team_goals_roll5, round(COALESCE(a.gc30, 0), 6) AS team_conceded_roll30, round(COALESCE(o.gc5, 0), 6) AS opp_conceded_roll5,
-      round(COALESCE(a.tg5 * o.gc5, 0), 6) AS team_goals_x_opp_conceded, round(COALESCE(lm.last_minutes, 0), 6) AS last_minutes
+      round(COALESCE(a.tg5 * o.gc5, 0), 6) AS team_goals_x_opp_conceded, round(COALESCE(lm.last_minutes, 0), 6) AS last_minutes, COALESCE(om.has_form, false) AS has_manager_form
     FROM p LEFT JOIN t AS a ON a.match_id = p.match_id AND a.team_no = p.team_no LEFT JOIN t AS o ON o.match_id = p.match_id AND o.team_no = p.opp_no
-    LEFT JOIN lm ON lm.player_id = p.player_id AND lm.season = p.season AND lm.gameweek = p.gameweek""",
+    LEFT JOIN lm ON lm.player_id = p.player_id AND lm.season = p.season AND lm.gameweek = p.gameweek
+    LEFT JOIN om ON om.match_id = p.match_id AND om.team_no = p.team_no"""
 )
+
+
+@query("q_feature_table", _FEATURE_SQL)
 def _feature_table(spark, sf):
     """The whole feature table; columns of each family are compared."""
-    out = T.player_features(player_match(spark, sf), PLAYER, TEAM)
-    exact = ["match_row", "goals_roll10", "lifetime_saves", "current_season_apps", "is_def"]
-    rounded = [
-        "shots_per90_roll5",
-        "tackles_per90_roll3",
-        "defcon_roll7",
-        "team_goals_roll5",
-        "team_conceded_roll30",
-        "opp_conceded_roll5",
-        "team_goals_x_opp_conceded",
-        "last_minutes",
-    ]
-    return out.select(*exact, *(r6(c) for c in rounded))
+    out = T.player_features(player_match(spark, sf), PLAYER, TEAM, owners=owner_table(spark, sf)[0])
+    known = F.greatest(*(F.abs(c) for c in M.EMBEDDING)) > 0
+    out = out.withColumn("has_manager_form", known)
+    return out.select(*_EXACT, "has_manager_form", *(r6(c) for c in _ROUNDED))
+
+
+@query(
+    "q_future_rows",
+    f"""SELECT * EXCLUDE (has_manager_form) FROM ({_FEATURE_SQL} WHERE p.match_row IN
+    (SELECT arg_min(match_row, (ts, match_row)) FROM pm WHERE d = (SELECT max(d) FROM pm) GROUP BY player_id))""",
+)
+def _future_rows(spark, sf):
+    """Each player's first row of the last day, from state: the days before in one build and one update."""
+    pm = player_match(spark, sf)
+    last = pm.agg(F.max("d")).first()[0]
+    state = N.build(pm.where(F.col("d") < last - 1), PLAYER, TEAM).updated(pm.where(F.col("d") == last - 1))
+    known = ["match_row", "player_id", "ts", "slot", "d", "season", "gameweek", "team_no", "opp_no", "match_id", "is_home", "position"]
+    first = F.min_by(F.struct(*known), F.struct("ts", "match_row")).alias("r")
+    coming = pm.where(F.col("d") == last).groupBy("player_id").agg(first).select("r.*")
+    out = N.future_features(coming, state)
+    return out.select(*(F.col(c).cast("long").alias(c) if c.endswith(("roll10", "saves", "apps")) else F.col(c) for c in _EXACT), *(r6(c) for c in _ROUNDED))
 
 
 @query("q_feature_table_full")
 def _feature_table_full(spark, sf):
     """Every column of the feature table."""
-    return T.player_features(player_match(spark, sf), PLAYER, TEAM)
+    return T.player_features(player_match(spark, sf), PLAYER, TEAM, owners=owner_table(spark, sf)[0])
 
 
 @query(

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.operators import windows as W
+from panelwright.operators import owners as O, windows as W
 from panelwright.operators.windows import Expanding, FillPrior, Lag, Panel, Rolling, add_prior, rolling_features
 from panelwright.plans.registry import query
-from panelwright.plans.standins import PLAYER, PM, TEAM, TM, player_match, team_match
+from panelwright.plans.standins import PLAYER, PM, SIDES, TEAM, TM, player_match, sides, team_match
 
 PLAYER_WINDOWS = (1, 2, 3, 5, 7, 10)
 TEAM_WINDOWS = (*PLAYER_WINDOWS, 30)
@@ -281,60 +281,24 @@ def _calendar(spark, sf):
     return out.select(*(c if c in keep else _r(c) for c in out.columns))
 
 
-_OWNER_COLS = ["goals", "shots", "tackles", "touches", "saves"]
+_OWNED = "(PARTITION BY manager_id ORDER BY d, match_id, team_no"
 
 
 @query(
     "q_owner_roll",
-    TM
-    + "SELECT match_id, team_no, row_number() OVER (PARTITION BY team_no ORDER BY d) - 1 AS n_prior_games, "
-    + ", ".join(
-        f"round(CASE WHEN row_number() OVER (PARTITION BY team_no ORDER BY d) > 3 THEN avg({c}) OVER w END, 6) AS {c}_roll20"
-        for c in _OWNER_COLS
-    )
-    + " FROM tm WINDOW w AS (PARTITION BY team_no ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)",
+    SIDES
+    + f"SELECT match_id, team_no, manager_id, row_number() OVER {_OWNED}) - 1 AS n_prior_games, "
+    + ", ".join(f"round(avg({c}) OVER {_OWNED} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 8) AS {c}_form" for c in O.PROFILE)
+    + " FROM games",
 )
 def _owner_roll(spark, sf):
-    feats = [*rolling_features(_OWNER_COLS, [20]), Expanding(None, "n_prior_games", "rows")]
-    out = add_prior(team_match(spark, sf), TEAM, feats)
-    valid = F.col("n_prior_games") >= 3
-    return out.select(
-        "match_id",
-        "team_no",
-        "n_prior_games",
-        *(F.round(F.when(valid, F.col(f"{c}_roll20")), 6).alias(f"{c}_roll20") for c in _OWNER_COLS),
-    )
-
-
-@query(
-    "q_future_rows",
-    PM
-    + """, last_day AS (SELECT max(d) AS m FROM pm),
-    ids AS (SELECT DISTINCT player_id FROM pm, last_day WHERE d = m),
-    r AS (SELECT pm.*, row_number() OVER (PARTITION BY pm.player_id ORDER BY ts DESC, match_row DESC) AS rn
-      FROM pm JOIN ids ON pm.player_id = ids.player_id)
-    SELECT player_id, round(avg(touches) FILTER (WHERE rn <= 3), 6) AS touches_roll3,
-      round(avg(touches) FILTER (WHERE rn <= 10), 6) AS touches_roll10, CAST(sum(goals) AS BIGINT) AS lifetime_goals
-    FROM r GROUP BY player_id""",
-)
-def _future_rows(spark, sf):
+    """Each side's 14 columns, averaged over its manager's last 20 games, whichever side they led."""
     pm = player_match(spark, sf)
-    last_day = pm.agg(F.max("d")).scalar()
-    ahead = F.lit(1)
-    future = (
-        pm.where(F.col("d") == last_day)
-        .groupBy("player_id")
-        .agg(F.max("ts").alias("ts"), F.max("slot").alias("slot"))
-        .select(
-            "player_id",
-            (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"),
-            (F.col("slot") + 24 * ahead).alias("slot"),
-            F.lit(-1).cast("long").alias("match_row"),
-        )
-    )
-    feats = [*rolling_features(["touches"], [3, 10]), Expanding("goals", "lifetime_goals")]
-    out = W.features_for_future(pm, future, ["player_id"], lambda both: add_prior(both, PLAYER, feats))
-    return out.select("player_id", _r("touches_roll3"), _r("touches_roll10"), "lifetime_goals")
+    listed = sides(pm)
+    stays = O.spells(listed, ["team_no"], "manager_id", "d")
+    known = O.point_in_time(listed.drop("manager_id"), stays, ["team_no"], "d", ["manager_id"], width=8)
+    out = O.owner_form(O.match_profile(pm, known), "manager_id", ["d", "match_id", "team_no"])
+    return out.select("match_id", "team_no", "manager_id", "n_prior_games", *(F.round(f"{c}_form", 8).alias(f"{c}_form") for c in O.PROFILE))
 
 
 @query(
@@ -369,3 +333,34 @@ def _matchup_top5(spark, sf):
     )
     top = top_k_per(scored, ["position"], [F.desc("xg_x_opp_conceded"), F.asc("match_row")], 5)
     return top.select("position", "player_id", "match_row", "xg_x_opp_conceded")
+
+
+@query(
+    "q_future_union",
+    PM
+    + """, last_day AS (SELECT max(d) AS m FROM pm),
+    ids AS (SELECT DISTINCT player_id FROM pm, last_day WHERE d = m),
+    r AS (SELECT pm.*, row_number() OVER (PARTITION BY pm.player_id ORDER BY ts DESC, match_row DESC) AS rn
+      FROM pm JOIN ids ON pm.player_id = ids.player_id)
+    SELECT player_id, round(avg(touches) FILTER (WHERE rn <= 3), 6) AS touches_roll3,
+      round(avg(touches) FILTER (WHERE rn <= 10), 6) AS touches_roll10, CAST(sum(goals) AS BIGINT) AS lifetime_goals
+    FROM r GROUP BY player_id""",
+)
+def _future_union(spark, sf):
+    pm = player_match(spark, sf)
+    last_day = pm.agg(F.max("d")).scalar()
+    ahead = F.lit(1)
+    future = (
+        pm.where(F.col("d") == last_day)
+        .groupBy("player_id")
+        .agg(F.max("ts").alias("ts"), F.max("slot").alias("slot"))
+        .select(
+            "player_id",
+            (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"),
+            (F.col("slot") + 24 * ahead).alias("slot"),
+            F.lit(-1).cast("long").alias("match_row"),
+        )
+    )
+    feats = [*rolling_features(["touches"], [3, 10]), Expanding("goals", "lifetime_goals")]
+    out = W.features_for_future(pm, future, ["player_id"], lambda both: add_prior(both, PLAYER, feats))
+    return out.select("player_id", _r("touches_roll3"), _r("touches_roll10"), "lifetime_goals")

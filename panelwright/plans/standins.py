@@ -89,6 +89,17 @@ def team_panel(pm: DataFrame) -> DataFrame:
     )
 
 
+def sides(pm: DataFrame) -> DataFrame:
+    """Both sides of every match with formation; ``manager_id`` is the sighting of that day."""
+    d, t = F.col("d"), F.col("team_no")
+    listed = pm.where(F.col("opp_no").isNotNull()).select("match_id", "d", "season", "gameweek", "team_no").distinct()
+    return listed.select(
+        "*",
+        ((t + 3 * F.floor((d + t) / 12)) % 20).alias("manager_id"),
+        F.concat_ws("-", 3 + d % 3, 4 - t % 2, 3 - d % 3 + t % 2).alias("formation"),
+    )
+
+
 _stats_sql = ", ".join(f"touches % {m} AS {n}" for n, m in MODULI.items())
 PM = f"""WITH pm_k AS (
   SELECT event_id AS match_row, user_id AS player_id, ts,
@@ -119,6 +130,23 @@ TM = (
 """
 )
 
+#: Both sides of every match, as SQL.
+SIDES = (
+    TM
+    + """, sides AS (SELECT match_id, d, season, gameweek, team_no, (team_no + 3 * ((d + team_no) // 12)) % 20 AS manager_id,
+      CAST(3 + d % 3 AS DOUBLE) AS form_def, CAST(4 - team_no % 2 AS DOUBLE) AS form_mid, CAST(3 - d % 3 + team_no % 2 AS DOUBLE) AS form_fwd FROM tm),
+  mins AS (SELECT match_id, team_no, minutes AS v, sum(minutes) OVER (PARTITION BY match_id, team_no) AS total,
+      row_number() OVER (PARTITION BY match_id, team_no ORDER BY minutes DESC) AS rn FROM pm WHERE opp_no IS NOT NULL AND minutes > 0),
+  shape AS (SELECT match_id, team_no, avg(v) AS mins_mean, quantile_cont(v, 0.5) AS mins_median, stddev_pop(v) AS mins_std, max(v) AS mins_max,
+      count(*) AS num_players_used, count(*) FILTER (WHERE v >= 89) AS num_full_90, greatest(count(*) - 11, 0) AS num_subs_made,
+      sum(v) FILTER (WHERE rn <= 11) / max(total) AS mins_concentration_top11, -sum(v / total * ln(v / total + 1e-12)) AS mins_entropy
+    FROM mins GROUP BY match_id, team_no),
+  games AS (SELECT s.*, a.goals + COALESCE(b.own_goal, 0) AS gf, COALESCE(b.goals, 0) + a.own_goal AS ga, p.* EXCLUDE (match_id, team_no)
+    FROM sides AS s JOIN tm AS a ON a.match_id = s.match_id AND a.team_no = s.team_no LEFT JOIN tm AS b ON b.match_id = s.match_id AND b.team_no <> s.team_no
+    JOIN shape AS p ON p.match_id = s.match_id AND p.team_no = s.team_no)
+"""
+)
+
 # ---- fixtures derived from the order tables -------------------------------
 
 

@@ -141,30 +141,46 @@ def append_run(header: DataFrame, params: DataFrame, metrics: DataFrame, root: s
 def upsert_table(
     spark: SparkSession, path: str, schema: T.StructType, new: DataFrame, keys: Sequence[str], seq: str, by: Sequence[str]
 ) -> None:
-    """Upsert into a partitioned table. A key that moves to another partition leaves its old one.
+    """Upsert into a partitioned table. A key that moves to another partition leaves its old one, the null partition too.
 
     The partition values of ``new`` become a filter, so only those partitions
     are scanned whole; elsewhere only the keys are read, to find moved ones.
-    Partitions with a moved key are rewritten too. The result is staged in
+    Partitions with a moved key are rewritten too; one that loses its last row
+    is deleted after the rest is written. Should the job end between the two,
+    a repeated call finds the moved keys again. The result is staged in
     shared storage first, as it reads what it will replace.
     """
     new = persisted(new, "batch")
     table = spark.read.schema(schema).parquet(path)
     touched = _partition_filter(new, by)
-    moved = table.where(~touched).select(*keys, *by).join(new.select(*keys).distinct(), list(keys), "left_semi")
+    # null is not in a list of values, but it is elsewhere
+    elsewhere = table.where(~F.coalesce(touched, F.lit(False))).select(*keys, *by, F.col("_metadata.file_path").alias("__file"))
+    moved = elsewhere.join(new.select(*keys).distinct(), list(keys), "left_semi")
     moved = persisted(moved, "moved")
     left_behind = _partition_filter(moved, by)
     here = persisted(upsert(table.where(touched), new, keys, seq), "upsert")
+    emptied: list[str] = []
     if not moved.isEmpty():
         there = persisted(table.where(left_behind).join(new.select(*keys), list(keys), "left_anti"), "left-behind")
-        if not null_safe_join(moved.select(*by).distinct(), there.select(*by).distinct(), list(by), "left_anti").isEmpty():
-            raise ValueError("a partition would lose its last row, which a partition overwrite cannot express")
+        gone = null_safe_join(moved, there.select(*by).distinct(), list(by), "left_anti")
+        folder = F.regexp_replace("__file", "/[^/]*$", "")
+        # folders of partitions, as few as the partition values above
+        emptied = [r[0] for r in gone.select(folder).distinct().collect()]
         here = here.unionByName(there)
     write_partitions(here, path, by)
+    for folder in emptied:
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder named by an encoded URI, in the file system Spark reads it from."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _partition_filter(rows: DataFrame, by: Sequence[str]) -> Column:
-    """Predicate on the partition values of ``rows``, as literals that prune the scan; the values of one column at a time are few."""
+    """Predicate on the partition values of ``rows``, as literals that prune the scan; the values of one column at a time are few. Null where a partition value is."""
     values = rows.select(*by).distinct().collect()
     out = F.lit(False)
     for r in values:

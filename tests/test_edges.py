@@ -79,8 +79,25 @@ def test_moved_key_and_pruned_scan(spark, tmp_path):
     scan = plan(spark.read.schema(old.schema).parquet(path).where(sinks._partition_filter(new, ["part"])))
     assert "PartitionFilters: [isnotnull(part" in scan and "(part" in scan and "= b)" in scan
     last = spark.createDataFrame([(4, "b", 3, 0.0)], "k int, part string, seq int, v double")
-    with pytest.raises(ValueError):
-        sinks.upsert_table(spark, path, old.schema, last, ["k"], "seq", ["part"])
+    # the partition that loses its only row is gone, not left behind
+    sinks.upsert_table(spark, path, old.schema, last, ["k"], "seq", ["part"])
+    got = sorted((r.k, r.part, r.v) for r in spark.read.schema(old.schema).parquet(path).collect())
+    assert got == [(1, "b", 9.0), (2, "a", 2.0), (3, "b", 3.0), (4, "b", 0.0), (5, "b", 5.0)]
+
+
+def test_upsert_of_null_and_emptied_partitions(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k int, v double, seq int, part string, week int"
+    rows = lambda df: sorted(((r.k, r.part or "", r.week or 0, r.v) for r in df.collect()))
+    old = spark.createDataFrame([(1, 1.0, 1, None, 1), (2, 2.0, 1, "x/ y=é", 1), (3, 3.0, 1, "x/ y=é", None), (4, 4.0, 1, "z", 2)], schema)
+    sinks.write_partitions(old, path, ["part", "week"])
+    read = lambda: spark.read.schema(schema).parquet(path)
+    # out of the null partition, into it, and out of a partition whose name needs escapes
+    new = spark.createDataFrame([(1, 9.0, 2, "z", 2), (4, 8.0, 2, None, 1), (2, 7.0, 2, "n", 5)], schema)
+    sinks.upsert_table(spark, path, read().schema, new, ["k"], "seq", ["part", "week"])
+    assert rows(read()) == [(1, "z", 2, 9.0), (2, "n", 5, 7.0), (3, "x/ y=é", 0, 3.0), (4, "", 1, 8.0)]
+    again = spark.createDataFrame([(3, 6.0, 3, "n", 5), (4, 5.0, 3, "n", 5)], schema)
+    sinks.upsert_table(spark, path, read().schema, again, ["k"], "seq", ["part", "week"])
+    assert rows(read()) == [(1, "z", 2, 9.0), (2, "n", 5, 7.0), (3, "n", 5, 6.0), (4, "n", 5, 5.0)]
 
 
 def test_size_checks_do_not_gather_rows(spark):

@@ -111,6 +111,30 @@ def test_ewm_with_long_null_run(spark):
         assert got[t] == pytest.approx(num / den, rel=1e-12)
 
 
+@pytest.mark.parametrize("span", [5, 60])
+def test_weighted_mean_of_a_long_history(spark, span):
+    """10,000 rows of one entity against the recurrence; divided into blocks the result is the same."""
+    rng = random.Random(span)
+    rows, i = [], 0
+    while len(rows) < 10_000:
+        i += rng.choice([1, 1, 1, 400])
+        rows.append(("a", i, i // 50, None if rng.random() < 0.2 or 3000 < len(rows) < 6000 else rng.uniform(-5, 5)))
+    df = spark.createDataFrame(rows + [("b", 1, 0, None), ("b", 2, 0, 4.0), ("b", 3, 0, None)], "e string, i int, p int, x double")
+    keep, num, den, mean, want = 1 - 2 / (span + 1), 0.0, 0.0, None, {}
+    for _, t, _, x in rows:
+        want[t] = mean
+        num, den = num * keep, den * keep
+        if x is not None:
+            num, den = num + x, den + 1
+            mean = num / den
+    for size in (5_000_000, 3000):
+        panel = Panel(("e",), ("i",), ("p",), block_rows=size)
+        got = {(r.e, r.i): r.m for r in W.ewm_prior(df, panel, "x", span, "m").collect()}
+        assert len(got) == len(rows) + 3 and got["b", 2] is None and got["b", 3] == 4.0
+        for t, m in want.items():
+            assert (got["a", t] is None) == (m is None) and (m is None or abs(got["a", t] - m) < 1e-9)
+
+
 def _ewm(df):
     return W.ewm_prior(df, Panel(("e",), ("i",)), "x", 5, "m")
 
