@@ -32,6 +32,9 @@ from panelwright.semantics import BROADCAST_BYTES, persisted, row_bytes
 #: A chunk ends above these: distinct windows, their links, and windows named by documents. They bound a task's memory.
 CHUNK_WINDOWS, CHUNK_IDS, CHUNK_NAMES = 150_000, 4_000_000, 3_000_000
 
+#: Bytes of text aligned at once; a step holds some twenty numbers for each of its tokens.
+STEP = 1_000_000
+
 #: Parts remembered in a generation.
 PARTS = 120_000
 
@@ -166,7 +169,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = loaded(Aligner, path_a, path_b=path_b)
         for batch in batches:
-            for step in text_steps(batch, 1):
+            for step in text_steps(batch, 1, STEP):
                 rows = []
                 for a, b in one.encode([t or "" for t in step.column(1).to_pylist()]):
                     a, b = np.frombuffer(a, ID), np.frombuffer(b, ID)
@@ -244,7 +247,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iter
         return table(n, cols | {"link_a": lists(stops, np.concatenate(chunk.link_a)), "link_b": lists(stops, np.concatenate(chunk.link_b))})
 
     for batch in batches:
-        for step in text_steps(batch, 1):
+        for step in text_steps(batch, 1, STEP):
             coded = one.encode([t or "" for t in step.column(1).to_pylist()])
             flat_a, flat_b = b"".join(a for a, _ in coded), b"".join(b for _, b in coded)
             a, b = np.frombuffer(flat_a, ID), np.frombuffer(flat_b, ID)
