@@ -197,7 +197,7 @@ def test_chunks_change_nothing(spark, monkeypatch):
     texts = [f"word{i} of the {i % 7} line" for i in range(60)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
     monkeypatch.setattr(alignment, "CHUNK_WINDOWS", 20)
-    monkeypatch.setattr(alignment, "text_steps", lambda b, c: tokens.text_steps(b, c, 100))
+    monkeypatch.setattr(alignment, "text_steps", lambda b, c, limit: tokens.text_steps(b, c, 100))
     monkeypatch.setattr(alignment.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
     rows = pa.Table.from_batches(list(alignment._chunks(iter([batch]), A, B))).to_pylist()
     chunks = {r["chunk"] for r in rows}
