@@ -30,13 +30,13 @@ from panelwright.llm.tokens import ID, ByteLevel, Memo, Parted, Pieces, gathered
 from panelwright.semantics import BROADCAST_BYTES, persisted, row_bytes
 
 #: A chunk ends above these: distinct windows, their links, and windows named by documents. They bound a task's memory.
-CHUNK_WINDOWS, CHUNK_IDS, CHUNK_NAMES = 150_000, 4_000_000, 3_000_000
+CHUNK_WINDOWS, CHUNK_IDS, CHUNK_NAMES = 300_000, 6_000_000, 5_000_000
 
 #: Bytes of text aligned at once; a step holds some twenty numbers for each of its tokens.
-STEP = 1_000_000
+STEP = 2_000_000
 
 #: Parts remembered in a generation.
-PARTS = 120_000
+PARTS = 280_000
 
 #: Parts that a frequent pair's windows are dealt over where the table of pairs is too large to broadcast.
 SALTS = 32
@@ -297,9 +297,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iter
         yield close()
 
 
-def _link_rows(chunks: DataFrame) -> DataFrame:
+def _link_rows(windows: DataFrame, chunk: str = "chunk") -> DataFrame:
     pairs = F.inline(F.arrays_zip(F.col("link_a").alias("a_id"), F.col("link_b").alias("b_id")))
-    return chunks.where("name is not null").select("chunk", "name", "n", pairs)
+    return windows.where("name is not null").select(chunk, "name", "n", pairs)
 
 
 def link_counts(chunks: DataFrame) -> DataFrame:
@@ -320,15 +320,17 @@ def statistics(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunks = persisted(rows.mapInArrow(lambda it: _chunks(it, path_a, path_b), _CHUNKS), "windows")
     pairs = persisted(link_counts(chunks), "links")
-    links = _link_rows(chunks).select("chunk", "name", "a_id", "b_id")
+    # the windows of a chunk move once, as rows of arrays; links, sums and the cogroup keep that placement
+    windows = chunks.where("name is not null").select(F.col("chunk").alias("of_chunk"), "name", "n", "link_a", "link_b").repartition("of_chunk")
+    links = _link_rows(windows, "of_chunk").select("of_chunk", "name", "a_id", "b_id")
     if pairs.count() * row_bytes(pairs.schema) <= BROADCAST_BYTES:
         met = links.join(F.broadcast(pairs), ["a_id", "b_id"])
     else:
         # a pair may close a third of all windows: each pair meets its windows in SALTS places
-        salted = links.withColumn("salt", F.pmod(F.xxhash64("chunk", "name"), F.lit(SALTS)).cast("int"))
+        salted = links.withColumn("salt", F.pmod(F.xxhash64("of_chunk", "name"), F.lit(SALTS)).cast("int"))
         met = salted.join(pairs.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS))))), ["a_id", "b_id", "salt"])
-    # the two sides of the cogroup come from one table: its key gets a name of its own
-    sums = met.groupBy(F.col("chunk").alias("of_chunk"), "name").agg(F.count_if("best").alias("n_best"), F.sum("links").alias("count_sum"))
+    # the two sides of the cogroup come from one table: of_chunk is the key's own name here
+    sums = met.groupBy("of_chunk", "name").agg(F.count_if("best").alias("n_best"), F.sum("links").alias("count_sum"))
     whole = chunks.where("name is null").drop("name", "n", "link_a", "link_b")
     return whole.groupBy("chunk").cogroup(sums.groupBy("of_chunk")).applyInArrow(
         _summed,
