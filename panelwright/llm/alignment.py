@@ -33,10 +33,10 @@ from panelwright.semantics import BROADCAST_BYTES, persisted, row_bytes
 CHUNK_WINDOWS, CHUNK_IDS, CHUNK_NAMES = 300_000, 6_000_000, 5_000_000
 
 #: Bytes of text aligned at once; a step holds some twenty numbers for each of its tokens.
-STEP = 2_000_000
+STEP = 1_000_000
 
 #: Parts remembered in a generation.
-PARTS = 280_000
+PARTS = 240_000
 
 #: Parts that a frequent pair's windows are dealt over where the table of pairs is too large to broadcast.
 SALTS = 32
