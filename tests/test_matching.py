@@ -57,6 +57,32 @@ def test_lookup_never_multiplies(spark):
     assert sorted(r.v for r in out.distinct().collect()) == ["-", "a", "c"]
 
 
+def test_fixtures_are_numbered_before_they_multiply(spark):
+    rng = random.Random(3)
+    games = [(i, *rng.sample("abcd", 2), rng.randrange(2), rng.randrange(6)) for i in range(40)]
+    fx = spark.createDataFrame(games, "match_id int, home_team string, away_team string, season int, day int")
+    listed = [(1, "a"), (2, "a"), (3, "b"), (3, "b"), (4, "c"), (4, "d"), (None, "a"), (5, None), (6, "z"), (4, "c"), (7, "d")]
+    ents = spark.createDataFrame(listed, "e int, team string")
+
+    def plain(rows):
+        sides = [(m, s, d, t, o, h) for m, a, b, s, d in games for t, o, h in ((a, b, 1), (b, a, 0))]
+        found = sorted((e, s, d, m, h, t, o) for e, t in rows for m, s, d, u, o, h in sides if u == t)
+        out, n = [], {}
+        for e, s, d, m, h, t, o in found:
+            n[e, s] = n.get((e, s), 0) + 1
+            out.append((e, s, n[e, s], m, h, o))
+        return sorted(out)
+
+    cols = ["e", "season", "fixture_num", "match_id", "is_home", "opponent"]
+    got = J.expand_fixtures(ents, fx, "e", "team", "match_id", ["day", "match_id"], ["season"])
+    rows = [tuple(r) for r in got.select(cols).collect()]
+    assert sorted(r for r in rows if r[0] is not None) == plain([r for r in listed if r[0] is not None])
+    assert sorted((0, *r[1:]) for r in rows if r[0] is None) == plain([(0, "a")])
+    single = J.expand_fixtures(ents.where("e < 4"), fx, "e", "team", "match_id", ["day", "match_id"], ["season"])
+    plan = single._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Join") < plan.index("Window")
+
+
 def test_two_matches_in_a_period_stay_apart(spark):
     tm = spark.createDataFrame(
         [(1, "a", "b", 2), (1, "b", "a", 0), (2, "a", "c", 1), (2, "c", "a", 3)], "match_id int, team_no string, opp_no string, goals int"
