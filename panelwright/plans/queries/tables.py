@@ -70,7 +70,8 @@ def _stat(c):
 
 def _documents(spark, sf):
     """One nested document per event, as JSON text."""
-    pm = player_match(spark, sf)
+    # a gzip file is read by one task: rows are dealt evenly first, however few the files of the source are
+    pm = player_match(spark, sf).repartition("match_row", "player_id")
     t = F.col("touches")
     stats = F.array(
         F.struct(F.create_map(F.lit("Total Shots"), _stat("shots"), F.lit("Tackles"), _stat("tackles")).alias("stats")),

@@ -120,3 +120,22 @@ def test_scratch_needs_shared_storage(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         semantics.scratch_dir(Remote(), "x")
+
+
+def test_a_payload_is_parsed_once_and_rows_are_dealt_before_files(spark, tmp_path):
+    from panelwright.plans.queries.tables import _documents
+
+    text = spark.createDataFrame([(json.dumps(document(1, 2)),), ("{broken",), (None,), ("{}",), ('{"general":{}}',)], "value string")
+    docs = S.parse_documents(text)
+    got = P.project_struct(docs, P.MATCH_FIELDS, root="doc.")
+    assert [tuple(r)[:4] for r in got.orderBy("match_id").collect()] == [(None, None, None, None), (1, "A", None, 2)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+    ts = F.timestamp_seconds(F.col("id") + 1704067200)
+    props = F.concat(F.lit('{"k": '), F.col("id"), F.lit("}"))
+    spark.range(50).select(
+        F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 7).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.5).alias("value"), props.alias("props")
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    made = _documents(spark, str(tmp_path))
+    assert made.count() == 50
+    assert "Repartition" in made._jdf.queryExecution().optimizedPlan().toString()
