@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwright.semantics import BROADCAST_BYTES, null_safe_join, persisted, row_bytes
+from panelwright.semantics import BROADCAST_BYTES, broadcast_if_small, null_safe_join, persisted, row_bytes
 
 _BLK, _HALO = "__block", "__halo"
 
@@ -385,7 +385,8 @@ def tier_award(
     The best distinct values of a group become one row of thresholds: values
     are made distinct map-side, then limited to the top few before they move.
     Every row compares with its group's thresholds; no row is joined by its
-    value. A null group or value has no award.
+    value. The thresholds are staged and, where their size allows, broadcast,
+    so that the rows do not move. A null group or value has no award.
     """
     keys, marks = list(group), [f"__tier{i}" for i in range(len(tiers))]
     top = (
@@ -397,6 +398,7 @@ def tier_award(
         .groupBy(*keys)
         .agg(*(F.max(F.when(F.col("__rk") == i + 1, F.col(value))).alias(m) for i, m in enumerate(marks)))
     )
+    top = broadcast_if_small(persisted(top, "tiers"))
     award = F.lit(0)
     for tier, mark in reversed(list(zip(tiers, marks))):
         award = F.when(F.col(value) == F.col(mark), F.lit(tier)).otherwise(award)

@@ -60,3 +60,18 @@ def test_awards_do_not_join_by_value(spark):
     out = tier_award(df, ["g"], "v", "a")
     assert {r.v: r.a for r in out.where("g = 0").collect()} == {float(v): {12: 3, 11: 2, 10: 1}.get(v, 0) for v in range(13)}
     assert out.count() == 1000
+
+
+def test_rows_do_not_move_to_their_thresholds(spark):
+    """Whatever the planner guesses about the rows: the thresholds are small when they are counted."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(500).select((F.col("id") % 7).alias("g"), (F.col("id") % 13).cast("double").alias("v"))
+        out = tier_award(df.unionByName(spark.createDataFrame([(None, 20.0), (3, None)], df.schema)), ["g"], "v", "a")
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {(r.g, r.v): r.a for r in out.collect()} == {
+            **{(g, float(v)): {12: 3, 11: 2, 10: 1}.get(v, 0) for g in range(7) for v in range(13)}, (None, 20.0): 0, (3, None): 0
+        }
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
