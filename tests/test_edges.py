@@ -111,3 +111,32 @@ def test_start_label_is_not_weighed_by_minutes(spark):
     df = spark.createDataFrame(rows, "minutes double, f double")
     p = L.fit_minutes(df, ["f"], rounds=2).starter.predict(df, "p").agg(F.avg("p")).first()[0]
     assert abs(p - 0.5) < 0.02
+
+
+def test_feature_table_moves_no_window_columns(spark, tmp_path):
+    """The calendar features join the facts before the windows: no hash shuffle stands above a window of players."""
+    from panelwright.plans.features import player_features
+    from panelwright.plans.standins import PLAYER, TEAM, player_match
+
+    ts = F.timestamp_seconds(F.col("id") * 7200 + 1704067200)
+    spark.range(300).select(
+        F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 23).alias("user_id"),
+        F.element_at(F.array(F.lit("view"), F.lit("purchase"), F.lit("click")), (F.col("id") % 3 + 1).cast("int")).alias("event_type"),
+        (F.col("id") % 97).cast("double").alias("value"), F.concat(F.lit('{"k": '), F.col("id"), F.lit("}")).alias("props"),
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    names = ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "true")
+        spark.conf.set(names[1], "-1")
+        pm = player_match(spark, str(tmp_path))
+        out = player_features(pm, PLAYER, TEAM)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("Window") < plan.index("Exchange hashpartitioning")
+        assert len(set(out.columns)) == len(out.columns)
+        rows = out.select("match_row", "last_minutes", "minutes_roll3").collect()
+        assert sorted(r.match_row for r in rows) == list(range(300))
+        assert any(r.last_minutes for r in rows) and any(r.minutes_roll3 for r in rows)
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
