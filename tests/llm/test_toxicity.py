@@ -88,3 +88,44 @@ def test_last_word_of_the_last_text_is_pooled():
         words = tox.Words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
         rows = tox._rows(words, SMALL)
         assert np.allclose(tox._pooled(model, rows, words.first), tox._pooled(model, rows, words.first, where=True)[0])
+
+
+def test_long_texts_are_learnt_whole(spark):
+    rows = [(i, "x " * 50_001 + "vile" if i % 2 else "x good", "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = tox.train(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"), shape=SMALL, least_steps=40)
+    low, high = tox._column_scores(model, pa.array(["x good", "x vile"]))
+    assert low < 0.5 < high
+
+
+def test_every_labelled_row_is_learnt_in_shards(spark):
+    """Averaged over shards the model learns as one, and a stem that only a few rows have is learnt too."""
+    rows = [(i, (t if i % 60 else f"w1 w2 hideous{i}"), lang, y) for i, t, lang, y in corpus(1500, 1)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = tox.train(docs, labels, shape=SMALL, shard_rows=300)
+    fresh = corpus(300, 2)
+    got = tox._column_scores(model, pa.array([r[1] for r in fresh])) >= 0.5
+    assert (got == np.array([r[3] for r in fresh])).mean() > 0.95
+    assert (tox._column_scores(model, pa.array(["w5 hideous77 w9", "hideous"])) > 0.5).all()
+    again = tox.train(docs, labels, shape=SMALL, shard_rows=300)
+    assert np.array_equal(model.table, again.table) and model.thresholds == again.thresholds
+
+
+def test_cuts_of_all_rows(spark):
+    rng = random.Random(5)
+    rows = [(lang, round(rng.random() ** (1 if y else 2), 2), y) for lang, n in (("a", 400), ("b", 90), ("c", 30)) for y in (int(rng.random() < 0.3) for _ in range(n))]
+    rows += [("only", 0.5, 1)] * 40
+
+    def plain(part):
+        marks = sorted({s for s, _ in part}, reverse=True)
+        def f1(c):
+            hits = sum(y for s, y in part if s >= c)
+            return 2 * hits / (sum(s >= c for s, _ in part) + sum(y for _, y in part))
+        i = max(range(len(marks)), key=lambda i: (f1(marks[i]), marks[i]))
+        return (marks[i] + (marks[i + 1] if i + 1 < len(marks) else 0)) / 2
+
+    got = tox.best_cuts(spark.createDataFrame(rows, "lang string, score double, y int"), 25)
+    want = {lang: plain([(s, y) for l, s, y in rows if l == lang]) for lang in ("a", "b")}
+    positive = {lang: sum(y for l, _, y in rows if l == lang) for lang in ("a", "b", "c")}
+    assert got == pytest.approx({k: v for k, v in want.items() if positive[k] >= 25})
