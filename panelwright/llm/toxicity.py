@@ -298,6 +298,14 @@ def _one_pass(grown: DataFrame, model: Model, share: float, seed: int, rounds: i
     return _moved(model, total / over)
 
 
+def _set_aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, y) with a mark on the fifth of the ids that calibrates."""
+    for b in batches:
+        ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        aside = mix64(ids.view(U64) + U64(3)) % U64(5) == 0
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(aside)], names=["id", "y", "aside"])
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -325,16 +333,17 @@ def train(
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("y"))
     known = known.dropna().groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
-    known = persisted(known.where(F.crc32(F.col("id").cast("string")) % fold != 0), "known")
+    known = known.where(F.crc32(F.col("id").cast("string")) % fold != 0)
+    known = persisted(known.mapInArrow(_set_aside, "id long, y int, aside boolean"), "known")
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
     rows = rows.where(F.crc32(F.col("id").cast("string")) % fold != 0).join(broadcast_if_small(known), "id")
     n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = max(1, -(-n // shard_rows), -(-size // shard_bytes))
-    rows = rows.withColumns({"shard": F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int"), "aside": F.pmod(F.xxhash64("id", F.lit(3)), F.lit(5)) == 0})
-    # staged: every pass reads it; the order makes reruns agree
-    rows = persisted(rows.repartition(shards, "shard").sortWithinPartitions("shard", "id", "text", "lang"), "labelled")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int"))
+    # staged, a shard a file: every pass reads it; the order makes reruns agree
+    rows = persisted(rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "id", "text", "lang"), "labelled")
     grown, held = rows.where("not aside"), rows.where("aside")
     n, positive = grown.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     model = _fresh(shape or Shape(), np.random.default_rng(7))
