@@ -75,3 +75,12 @@ def test_rows_do_not_move_to_their_thresholds(spark):
         }
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_small_counts_need_no_pass_over_all_steps(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, 0.3), (3, 4.0), (4, 12.0), (5, 1200.0), (6, None)], "k int, lam double")
+    out = X.draws(df, 300, "k", rates={"g": "lam"})
+    assert "CASE WHEN (__u_g" in out._jdf.queryExecution().optimizedPlan().toString()
+    plain = out.select("k", "g", X.uniform(7, "g", "k", "draw_id").alias("u"), X.poisson_steps("lam").alias("s")).where("k <> 5").collect()
+    assert all(r.g == sum(c <= r.u for c in r.s) for r in plain) and max(r.g for r in plain) > X.FIRST_STEPS
+    assert out.where("k = 5").agg(F.avg("g")).first()[0] == pytest.approx(1200, rel=0.01)
