@@ -10,8 +10,9 @@ Counts over the corpus use the same windows. Documents are read in chunks; a
 chunk numbers its distinct windows and keeps, for each document, which ones
 it holds and how often. The links of the windows give the count of every pair
 of ids, the counts give each window its sums, and the sums go back to the
-chunk that numbered the window. No token is moved, and a window is moved once
-for a chunk, however frequent it is.
+chunk that numbered the window, packed as arrays. No token and no window is
+moved, but a few bytes of sums for each window of a chunk, however frequent it
+is.
 """
 
 from __future__ import annotations
@@ -297,9 +298,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iter
         yield close()
 
 
-def _link_rows(windows: DataFrame, chunk: str = "chunk") -> DataFrame:
+def _link_rows(chunks: DataFrame) -> DataFrame:
     pairs = F.inline(F.arrays_zip(F.col("link_a").alias("a_id"), F.col("link_b").alias("b_id")))
-    return windows.where("name is not null").select(chunk, "name", "n", pairs)
+    return chunks.where("name is not null").select("chunk", "name", "n", pairs)
 
 
 def link_counts(chunks: DataFrame) -> DataFrame:
@@ -320,17 +321,17 @@ def statistics(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunks = persisted(rows.mapInArrow(lambda it: _chunks(it, path_a, path_b), _CHUNKS), "windows")
     pairs = persisted(link_counts(chunks), "links")
-    # the windows of a chunk move once, as rows of arrays; links, sums and the cogroup keep that placement
-    windows = chunks.where("name is not null").select(F.col("chunk").alias("of_chunk"), "name", "n", "link_a", "link_b").repartition("of_chunk")
-    links = _link_rows(windows, "of_chunk").select("of_chunk", "name", "a_id", "b_id")
+    # the two sides of the cogroup come from one table: the key gets a name of its own
+    links = _link_rows(chunks).select(F.col("chunk").alias("of_chunk"), "name", "a_id", "b_id")
     if pairs.count() * row_bytes(pairs.schema) <= BROADCAST_BYTES:
+        # the links of a window stay in the task that read it, one after the other
         met = links.join(F.broadcast(pairs), ["a_id", "b_id"])
     else:
         # a pair may close a third of all windows: each pair meets its windows in SALTS places
         salted = links.withColumn("salt", F.pmod(F.xxhash64("of_chunk", "name"), F.lit(SALTS)).cast("int"))
         met = salted.join(pairs.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS))))), ["a_id", "b_id", "salt"])
-    # the two sides of the cogroup come from one table: of_chunk is the key's own name here
-    sums = met.groupBy("of_chunk", "name").agg(F.count_if("best").alias("n_best"), F.sum("links").alias("count_sum"))
+        met = met.groupBy("of_chunk", "name").agg(F.sum("links").alias("links"), F.count_if("best").alias("best"))
+    sums = met.select("of_chunk", "name", "links", F.col("best").cast("long").alias("best")).mapInArrow(_packed, _SUMS)
     whole = chunks.where("name is null").drop("name", "n", "link_a", "link_b")
     return whole.groupBy("chunk").cogroup(sums.groupBy("of_chunk")).applyInArrow(
         _summed,
@@ -338,12 +339,32 @@ def statistics(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
     )
 
 
+_SUMS = "of_chunk long, names array<int>, bests array<long>, counts array<long>"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of neighbouring rows of a window, a row of arrays for each chunk of a batch; a window may come in several parts."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        chunk, name, links, best = (batch.column(c).to_numpy() for c in ("of_chunk", "name", "links", "best"))
+        order = np.argsort(chunk, kind="stable")
+        chunk, name, links, best = (v[order] for v in (chunk, name, links, best))
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(chunk) != 0) | (np.diff(name) != 0)]))
+        chunk, name, links, best = chunk[first], name[first], np.add.reduceat(links, first), np.add.reduceat(best, first)
+        start = np.flatnonzero(np.concatenate([[True], np.diff(chunk) != 0]))
+        bounds = pa.array(np.append(start, len(chunk)), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(v)) for v in (name, best, links)]
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[start]), *lists], names=["of_chunk", "names", "bests", "counts"])
+
+
 def _summed(docs: pa.Table, sums: pa.Table) -> pa.Table:
     """Sums of a chunk's windows to its documents; both sides are bounded by what makes a chunk."""
-    n = len(sums)
+    name, own_best, own_total = (sums[c].combine_chunks().flatten().to_numpy() for c in ("names", "bests", "counts"))
+    n = int(name.max()) + 1 if len(name) else 0
     best, total = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    name = sums["name"].to_numpy()
-    best[name], total[name] = sums["n_best"].to_numpy(), sums["count_sum"].to_numpy()
+    np.add.at(best, name, own_best)
+    np.add.at(total, name, own_total)
     names, times = (docs[c].combine_chunks() for c in ("names", "times"))
     lengths = np.diff(names.offsets.to_numpy()) if len(docs) else np.zeros(0, np.int64)
     flat, often = names.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)

@@ -208,3 +208,26 @@ def test_chunks_change_nothing(spark, monkeypatch):
             if r["chunk"] == c and r["doc_id"] is not None:
                 named.update(dict(zip(r["names"], r["times"])))
         assert {r["name"]: r["n"] for r in rows if r["chunk"] == c and r["name"] is not None} == named
+
+
+def test_windows_stay_and_packed_sums_move(spark):
+    docs = spark.createDataFrame([(i, f"word{i} of the {i % 7} line") for i in range(60)], "doc_id long, text string")
+    plan = alignment.statistics(docs, A, B)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and "Aggregate" not in plan and "counts#" in plan
+
+
+def test_packed_sums_of_split_windows():
+    """A window's links in several batches, chunks in turn: the documents get whole sums."""
+    import pyarrow as pa
+
+    rows = [(5, 0, 3, 1), (5, 0, 2, 0), (5, 1, 7, 1), (6, 0, 10, 1), (5, 1, 1, 1), (6, 2, 4, 0), (5, 2, 9, 0)]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    made = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds)], names=["of_chunk", "name", "links", "best"])
+    packed = pa.Table.from_batches(list(alignment._packed(iter([made(rows[:3]), made(rows[3:]), made(rows[:1]).slice(1)]))))
+    assert len(packed) == 3
+    own = packed.filter(pa.compute.equal(packed["of_chunk"], 5))
+    ints = pa.list_(pa.int32())
+    docs = {c: [1, 2] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")} | {"groups_sha256": ["x", "y"]}
+    docs = pa.table(docs | {"names": pa.array([[0, 1], []], ints), "times": pa.array([[2, 1], []], ints)})
+    got = alignment._summed(docs, own).to_pylist()
+    assert [(r["n_best"], r["count_sum"]) for r in got] == [(4, 18), (0, 0)]
