@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwright.llm import decontaminate, dedup, mixing, pii, toxicity
 from panelwright.llm.common import table
-from panelwright.semantics import persisted
+from panelwright.semantics import broadcast_if_small, persisted
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id. Rows without an id stay; of rows with equal ids one stays."""
     marks = persisted(dedup.near_duplicates(docs), "marks")
-    gone = marks.where(~F.col("kept")).select("doc_id").distinct()
+    # ids are broadcast after a count, so that no text moves
+    gone = broadcast_if_small(marks.where(~F.col("kept")).select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = marks.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():

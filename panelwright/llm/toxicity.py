@@ -287,15 +287,21 @@ def _one_pass(grown: DataFrame, model: Model, share: float, seed: int, rounds: i
         shard = min(steps_of["shard"].to_pylist())
         return pa.table([pa.array([shard], pa.int32()), pa.array([rows], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=["shard", "rows", "step", "seen"])
 
+    dim = model.shape.dim
+
+    def averaged(sums: pa.Table) -> pa.Table:
+        """One row: the step of all shards."""
+        order = np.argsort(sums["shard"].to_numpy())
+        total, seen = (sum(np.frombuffer(sums[c][int(i)].as_py(), np.float64) for i in order) for c in ("step", "seen"))
+        over = np.full(total.size, float(sum(sums["rows"].to_pylist())))
+        over[:size] = np.repeat(np.maximum(seen, 1), dim)
+        return pa.table([pa.array([(total / over).tobytes()], pa.binary())], names=["step"])
+
     steps_made = grown.select("shard", "text", "y").mapInArrow(learn, _STEP)
-    # a handful of sums comes to the driver, however many shards there are
-    sums = steps_made.groupBy(F.col("shard") % 4).applyInArrow(added, _STEP).collect()
-    sums.sort(key=lambda r: r.shard)
-    total = sum(np.frombuffer(r.step, np.float64) for r in sums)
-    seen = sum(np.frombuffer(r.seen, np.float64) for r in sums)
-    over = np.full(total.size, float(sum(r.rows for r in sums)))
-    over[:size] = np.repeat(np.maximum(seen, 1), model.shape.dim)
-    return _moved(model, total / over)
+    # a handful of sums meets in one task, however many shards there are; one step comes to the driver
+    sums = steps_made.groupBy(F.col("shard") % 4).applyInArrow(added, _STEP)
+    step = sums.groupBy().applyInArrow(averaged, "step binary").first().step
+    return _moved(model, np.frombuffer(step, np.float64))
 
 
 def _set_aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,3 +70,18 @@ def test_odd_documents_pass_all_stages(spark, rows):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted({(r[0], r[1]) for r in rows}, key=str)
     assert cp.STAGES[-1][1](spark, docs, SF).columns == docs.columns
+
+
+def test_ids_of_copies_go_to_the_texts(spark):
+    """No text is shuffled to meet the ids that go, whatever the planner thinks of their size."""
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "another text of few words"), (None, text)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = cp.drop_near_duplicates(spark, docs, SF)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r.doc_id for r in out.collect()} == {1, 3, None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

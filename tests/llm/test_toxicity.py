@@ -129,3 +129,20 @@ def test_cuts_of_all_rows(spark):
     want = {lang: plain([(s, y) for l, s, y in rows if l == lang]) for lang in ("a", "b")}
     positive = {lang: sum(y for l, _, y in rows if l == lang) for lang in ("a", "b", "c")}
     assert got == pytest.approx({k: v for k, v in want.items() if positive[k] >= 25})
+
+
+def test_one_step_of_all_shards_comes_to_the_driver(spark, monkeypatch):
+    rows = corpus(600, 3)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    kind, came = type(docs), []
+    collect = kind.collect
+
+    def spied(df):
+        got = collect(df)
+        came.append(sum(len(v) for r in got for v in r if isinstance(v, (bytes, bytearray))))
+        return got
+
+    monkeypatch.setattr(kind, "collect", spied)
+    model = tox.train(docs, labels, shape=SMALL, shard_rows=100)
+    assert max(came) == 8 * len(tox._flat(model))
