@@ -13,6 +13,7 @@ the score itself sees the text only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from panelwright.llm.common import U64, Words, mix64, steps
+from panelwright.llm.common import U64, Words, memory_returned, mix64, steps
 from panelwright.semantics import broadcast_if_small, persisted
 
 OWN = ("score", "threshold", "toxic")
@@ -53,13 +54,14 @@ class Model:
 
 
 def _rows(words: Words, shape: Shape) -> np.ndarray:
-    """Embedding rows of every word: (words, 1 + prefixes)."""
+    """Embedding rows of every word: (words, 1 + prefixes), in as few bytes as bucket numbers need, column by column."""
     mask = U64(shape.buckets - 1)
-    cols = [words.hash & mask]
+    out = np.empty((1 + len(shape.prefixes), len(words.hash)), np.uint16 if shape.buckets <= 1 << 16 else np.int32)
+    out[0] = words.hash & mask
     for salt, n in enumerate(shape.prefixes, 1):
         part = words.of(words.start, np.minimum(words.start + n, words.end))
-        cols.append(mix64(part + U64(salt)) & mask)
-    return np.stack(cols, 1).astype(np.int32)
+        out[salt] = mix64(part + U64(salt)) & mask
+    return out.T
 
 
 def _padded(first: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,31 +71,49 @@ def _padded(first: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(first[-1]) + pad * np.repeat(np.arange(len(sizes)), sizes), starts
 
 
-def _pooled(model: Model, rows: np.ndarray, first: np.ndarray, where: bool = False):
-    """Pooled filter values (texts, all filters), before bias; with ``where`` also the places they came from."""
-    shape, pad = model.shape, max(model.shape.widths) - 1
+def _held(space: dict[str, np.ndarray], name: str, n: int, width: int) -> np.ndarray:
+    """``n`` rows of a buffer that later calls use again, as fresh memory costs more than the sums in it."""
+    if name not in space or len(space[name]) < n:
+        space[name] = np.empty((n + n // 4, width), np.float32)
+    return space[name][:n]
+
+
+def _pooled(model: Model, rows: np.ndarray, first: np.ndarray, where: bool = False, space: dict[str, np.ndarray] | None = None):
+    """Pooled filter values (texts, all filters), before bias; with ``where`` also the places they came from.
+
+    With ``space`` buffers are taken from there; what came back with ``where`` holds until the next call.
+    """
+    shape, pad, space = model.shape, max(model.shape.widths) - 1, {} if space is None else space
     places, starts = _padded(first, pad)
     sizes = np.diff(first)
-    x = np.zeros((first[-1] + pad * len(sizes) + 1, shape.dim), np.float32)
-    vectors = model.table[rows[:, 0]]
+    n = first[-1] + pad * len(sizes)
+    at_rows = np.zeros((rows.shape[1], n + 1), np.int64)
+    at_rows[:, places] = rows.T
+    x, part = _held(space, "x", n + 1, shape.dim), _held(space, "part", n + 1, shape.dim)
+    model.table.take(at_rows[0], axis=0, out=x, mode="clip")
     for c in range(1, rows.shape[1]):
-        vectors += model.table[rows[:, c]]
-    x[places] = vectors * np.float32(1 / rows.shape[1])
+        x += model.table.take(at_rows[c], axis=0, out=part, mode="clip")
+    x *= np.float32(1 / rows.shape[1])
+    empty = np.ones(n + 1, bool)
+    empty[places] = False
+    x[empty] = 0
     some = np.flatnonzero(sizes)
     values, at = [], []
+    n -= pad
+    y, part = _held(space, "y", n + 1, shape.filters), _held(space, "product", n, shape.filters)
+    y[n] = -np.inf  # lets the last text end inside
+    filters = np.arange(shape.filters)
     for width, kernel in zip(shape.widths, model.kernels):
-        n = len(x) - pad - 1
-        y = np.full((n + 1, shape.filters), -np.inf, np.float32)  # the last row lets the last text end inside
         np.matmul(x[:n], kernel[0], out=y[:n])
         for j in range(1, width):
-            y[:n] += x[j : n + j] @ kernel[j]
+            y[:n] += np.matmul(x[j : n + j], kernel[j], out=part)
         best = np.zeros((len(sizes), shape.filters), np.float32)
         place = np.zeros((len(sizes), shape.filters), np.int64)
         if where:
             for d in some:
                 seg = y[starts[d] : starts[d] + sizes[d]]
                 place[d] = seg.argmax(0)
-                best[d] = seg[place[d], np.arange(shape.filters)]
+                best[d] = seg[place[d], filters]
                 place[d] += starts[d]
         elif len(some):
             edges = np.empty(2 * len(some), np.int64)
@@ -108,14 +128,15 @@ def _logit(model: Model, pooled: np.ndarray) -> np.ndarray:
     return np.maximum(pooled + model.bias, 0) @ model.out + model.intercept + model.shift
 
 
-def score_words(model: Model, words: Words) -> np.ndarray:
+def score_words(model: Model, words: Words, space: dict[str, np.ndarray] | None = None) -> np.ndarray:
     """Score of each text, 0 to 1, to six digits; a text without words has the score of all-zero filters."""
-    z = _logit(model, _pooled(model, _rows(words, model.shape), words.first))
+    z = _logit(model, _pooled(model, _rows(words, model.shape), words.first, space=space))
     return np.round(1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30))), 6)
 
 
 def _column_scores(model: Model, column: pa.Array) -> np.ndarray:
-    got = [score_words(model, Words(data, offsets)) for _, _, data, offsets in steps(column, SCORE_BYTES)]
+    space: dict[str, np.ndarray] = {}
+    got = [score_words(model, Words(data, offsets), space) for _, _, data, offsets in steps(column, SCORE_BYTES)]
     return np.concatenate(got) if got else np.zeros(0)
 
 
@@ -142,6 +163,23 @@ def _passes(n: int, rounds: int, batch: int, least_steps: int) -> int:
     return max(rounds, -(-least_steps // -(-n // batch)))
 
 
+class Examples:
+    """Labelled texts as embedding rows, in the order they were added; the texts themselves are not kept."""
+
+    def __init__(self, shape: Shape):
+        self.shape, self.rows, self.toxic = shape, [], []
+
+    def add(self, texts: pa.Array, toxic: list | np.ndarray) -> None:
+        for _, _, data, offsets in steps(texts, SCORE_BYTES):
+            w = Words(data, offsets)
+            own = _rows(w, self.shape)
+            self.rows += [own[w.first[d] : w.first[d + 1]] for d in range(len(offsets) - 1)]
+        self.toxic.extend(toxic)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+
 def fit(
     texts: list[str], toxic: np.ndarray, shape: Shape | None = None, rounds: int = 6, batch: int = 64, rate: float = 0.015, seed: int = 7,
     least_steps: int = 240, start: Model | None = None, share: float | None = None,
@@ -152,42 +190,65 @@ def fit(
     the steps go on from that model, whatever classes the texts have;
     ``share`` is the share of toxic rows that sets the weights.
     """
+    known = Examples(start.shape if start else shape or Shape())
+    known.add(pa.array(texts, pa.string()), toxic)
+    return fit_examples(known, rounds, batch, rate, seed, least_steps, start, share)
+
+
+def fit_examples(
+    known: Examples, rounds: int = 6, batch: int = 64, rate: float = 0.015, seed: int = 7, least_steps: int = 240, start: Model | None = None,
+    share: float | None = None,
+) -> Model:
+    """What ``fit`` does, from texts that have been read already."""
     rng = np.random.default_rng(seed)
-    toxic = np.asarray(toxic, np.float32)
+    shape, rows, toxic = known.shape, known.rows, np.asarray(known.toxic, np.float32)
     if start is None:
-        model = _fresh(shape or Shape(), rng)
+        model = _fresh(shape, rng)
         if not len(toxic) or toxic.min() == toxic.max():
             return _base_rate(model, len(toxic), float(toxic.sum()))
     else:
         model = Model(start.shape, start.table.copy(), [k.copy() for k in start.kernels], start.bias.copy(), start.out.copy(), start.intercept)
-    shape = model.shape
     share = float(toxic.mean()) if share is None else share
-    rows, sizes = [], []
-    for _, _, data, offsets in steps(pa.array(texts, pa.string()), SCORE_BYTES):
-        w = Words(data, offsets)
-        all_rows = _rows(w, shape)
-        for d in range(len(offsets) - 1):
-            rows.append(all_rows[w.first[d] : w.first[d + 1]])
-            sizes.append(len(rows[-1]))
+    sizes = np.array([len(r) for r in rows], np.int64)
     weight = np.where(toxic > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     state: dict[str, list[np.ndarray]] = {}
     step = 0
 
     def adam(name: str, value: np.ndarray, grad: np.ndarray) -> None:
-        m, v = state.setdefault(name, [np.zeros_like(value), np.zeros_like(value)])
-        m += 0.1 * (grad - m)
-        v += 0.001 * (grad * grad - v)
-        value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
-
+        """One step, in place and by runs that stay in the processor's cache; ``grad`` is used up."""
+        if name not in state:
+            state[name] = [np.zeros_like(value), np.zeros_like(value)]
+        flat = [x.reshape(-1) for x in (value, grad, *state[name])]
+        for lo in range(0, value.size, len(one)):
+            w, g, m, v = (x[lo : lo + len(one)] for x in flat)
+            a, b = one[: len(w)], two[: len(w)]
+            np.multiply(g, g, out=a)
+            a -= v
+            a *= 0.001
+            v += a
+            g -= m
+            g *= 0.1
+            m += g
+            np.divide(v, 1 - 0.999**step, out=a)
+            np.sqrt(a, out=a)
+            a += 1e-7
+            np.divide(m, 1 - 0.9**step, out=b)
+            b *= rate
+            b /= a
+            w -= b
+
+    one, two = np.empty(1 << 14, np.float32), np.empty(1 << 14, np.float32)
+    space: dict[str, np.ndarray] = {}
     intercept = np.array([model.intercept], np.float32)
+    table_grad, dims = np.empty_like(model.table), np.arange(shape.dim)
     for _ in range(_passes(len(toxic), rounds, batch, least_steps)):
         order = rng.permutation(len(toxic))
         for lo in range(0, len(order), batch):
             step += 1
             pick = order[lo : lo + batch]
-            first = np.concatenate([[0], np.cumsum([sizes[i] for i in pick])])
-            own = np.concatenate([rows[i] for i in pick]) if first[-1] else np.zeros((0, 1 + len(shape.prefixes)), np.int32)
-            pooled, at, x, places = _pooled(model, own, first, where=True)
+            first = np.concatenate([[0], np.cumsum(sizes[pick])])
+            own = np.concatenate([rows[i].T for i in pick], axis=1).T
+            pooled, at, x, places = _pooled(model, own, first, where=True, space=space)
             hidden = np.maximum(pooled + model.bias, 0)
             z = hidden @ model.out + intercept[0]
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[pick]) * weight[pick] / len(pick)
@@ -206,9 +267,10 @@ def fit(
             place = word_at[np.concatenate([p for p, _ in dx])]
             flow = np.concatenate([v for _, v in dx])[place >= 0]
             place = place[place >= 0]
-            table_grad = np.zeros_like(model.table)
-            for c in range(own.shape[1]):
-                np.add.at(table_grad, own[place, c], flow / own.shape[1])
+            table_grad[:] = 0
+            flow = (flow / own.shape[1]).ravel()
+            for c in range(own.shape[1]):  # flat: numpy adds at places of one axis several times faster
+                np.add.at(table_grad.reshape(-1), (own[place, c].astype(np.int64)[:, None] * shape.dim + dims).ravel(), flow)
             adam("table", model.table, table_grad)
             adam("bias", model.bias, back.sum(0))
             adam("out", model.out, hidden.T @ err)
@@ -252,29 +314,35 @@ def _moved(model: Model, step: np.ndarray) -> Model:
 _STEP = "shard int, rows long, step binary, seen binary"
 
 
-def _one_pass(grown: DataFrame, model: Model, share: float, seed: int, rounds: int, least_steps: int) -> Model:
+def _one_pass(grown: DataFrame, model: Model, share: float, seed: int, rounds: int, least_steps: int, shards: int = 1) -> Model:
     """Steps of every shard from ``model`` on, averaged by rows; an embedding row over the shards that moved it."""
     size = model.table.size
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stepped(shard: int, texts: list[str], y: list[int]) -> pa.RecordBatch:
-            new = fit(texts, np.array(y), rounds=rounds, seed=seed + 1009 * shard, least_steps=least_steps, start=model, share=share)
+        def stepped(shard: int, known: Examples) -> pa.RecordBatch:
+            new = fit_examples(known, rounds, seed=seed + 1009 * shard, least_steps=least_steps, start=model, share=share)
+            n = len(known)
             step = _flat(new) - _flat(model)
             seen = np.any(step[:size].reshape(model.table.shape) != 0, axis=1)
-            cols = [pa.array([shard], pa.int32()), pa.array([len(y)], pa.int64()), pa.array([step.tobytes()], pa.binary()), pa.array([np.where(seen, float(len(y)), 0.0).tobytes()], pa.binary())]
+            cols = [pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([step.tobytes()], pa.binary()), pa.array([np.where(seen, float(n), 0.0).tobytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["shard", "rows", "step", "seen"])
 
-        now, texts, y = None, [], []
+        now, known = None, Examples(model.shape)
         for b in batches:
-            for shard, text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if shard != now and y:
-                    yield stepped(now, texts, y)
-                    texts, y = [], []
-                now = shard
-                texts.append(text or "")
-                y.append(label)
-        if y:
-            yield stepped(now, texts, y)
+            shards = b.column(0).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if shards[lo] != now and len(known):
+                    yield stepped(now, known)
+                    known = Examples(model.shape)
+                now = int(shards[lo])
+                known.add(b.column(1).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo).to_pylist())
+        if len(known):
+            yield stepped(now, known)
+        del known
+        memory_returned()
 
     def added(steps_of: pa.Table) -> pa.Table:
         """One row: steps weighted by rows, and the rows behind them."""
@@ -298,8 +366,8 @@ def _one_pass(grown: DataFrame, model: Model, share: float, seed: int, rounds: i
         return pa.table([pa.array([(total / over).tobytes()], pa.binary())], names=["step"])
 
     steps_made = grown.select("shard", "text", "y").mapInArrow(learn, _STEP)
-    # a handful of sums meets in one task, however many shards there are; one step comes to the driver
-    sums = steps_made.groupBy(F.col("shard") % 4).applyInArrow(added, _STEP)
+    # a task adds up about as many steps as there are sums, the root of the shards at most; one step comes to the driver
+    sums = steps_made.groupBy(F.col("shard") % max(4, math.isqrt(shards))).applyInArrow(added, _STEP)
     step = sums.groupBy().applyInArrow(averaged, "step binary").first().step
     return _moved(model, np.frombuffer(step, np.float64))
 
@@ -356,10 +424,10 @@ def train(
     if not 0 < positive < n:
         model = _base_rate(model, n, positive)
     elif shards == 1:
-        model = _one_pass(grown, model, positive / n, 7, rounds, least_steps)
+        model = _one_pass(grown, model, positive / n, 7, rounds, least_steps, shards)
     else:
         for i in range(_passes(n, rounds, 64, least_steps)):
-            model = _one_pass(grown, model, positive / n, 7 + i, 1, 0)
+            model = _one_pass(grown, model, positive / n, 7 + i, 1, 0, shards)
     if counts.get(0) and counts.get(1) and 0 < positive < n:
         # both classes weighed alike in training; halfway to the true odds keeps rare toxic rows in reach
         model.shift = 0.5 * float(np.log(counts[1] / counts[0]))
@@ -386,6 +454,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str =
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(_column_scores(model, column), pa.float64())], names=[*b.schema.names, "score"]
             )
+        memory_returned()
 
     out = kept.mapInArrow(scored, schema)
     cut = F.lit(model.default)

@@ -146,3 +146,37 @@ def test_one_step_of_all_shards_comes_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(kind, "collect", spied)
     model = tox.train(docs, labels, shape=SMALL, shard_rows=100)
     assert max(came) == 8 * len(tox._flat(model))
+
+
+def test_steps_hold_little_beside_the_weights():
+    """The table, its gradient and two moments; not a copy for each sum of the optimiser."""
+    import tracemalloc
+
+    start = tox._fresh(tox.Shape(buckets=1 << 17), np.random.default_rng(1))
+    tox._column_scores(start, pa.array(["powers of the hash's base"]))
+    tracemalloc.start()
+    tox.fit(["bad word", "good word"] * 8, np.array([1, 0] * 8), rounds=2, least_steps=0, start=start, share=0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * start.table.nbytes
+
+
+def test_examples_keep_bucket_numbers_and_no_text():
+    texts = pa.array(["one two three", None, "", "four " * 1000])
+    known = tox.Examples(tox.Shape())
+    known.add(texts.slice(0, 2), [1, 0])
+    known.add(texts.slice(2), [0, 1])
+    assert [len(r) for r in known.rows] == [3, 0, 0, 1000] and known.toxic == [1, 0, 0, 1]
+    assert all(r.dtype == np.uint16 and r.shape[1] == 5 for r in known.rows)
+    assert tox.Examples(tox.Shape(buckets=1 << 17)).shape.buckets > 1 << 16
+    wide = tox.Examples(tox.Shape(buckets=1 << 17))
+    wide.add(texts, [0] * 4)
+    assert wide.rows[3].dtype == np.int32
+
+
+def test_buffers_that_are_used_again_change_no_value():
+    model, space = tox._fresh(SMALL, np.random.default_rng(3)), {}
+    for text in ("a b c d e f", "", "x", "a b c"):
+        words = tox.Words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        rows = tox._rows(words, SMALL)
+        assert np.array_equal(tox._pooled(model, rows, words.first, space=space), tox._pooled(model, rows, words.first))
