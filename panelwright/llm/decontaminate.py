@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelwright.llm.common import NON_WORD, U64, Words, mix64, steps
+from panelwright.llm.common import NON_WORD, U64, Words, memory_returned, mix64, steps
 
 #: Words under a 1 are read. The first has no gap and serves short items too.
 MASKS = ("11111111", "110110101101", "101101110011", "111001101011")
@@ -141,6 +141,14 @@ def _overlaps(block: Block, words: Words, least: int, percent: int) -> list[tupl
     return [(int(d), int(block.ids[i]), *v[1:]) for (d, i), v in sorted(best.items())]
 
 
+def _found(block: Block, texts: pa.Array, least: int, percent: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """``_overlaps`` of a column, with its row numbers; texts are lowered and hashed in bounded steps."""
+    for at, to, _, _ in steps(texts.cast(pa.string()) if pa.types.is_null(texts.type) else texts):
+        for near, _, data, offsets in steps(_lowered(texts.slice(at, to - at))):
+            for row in _overlaps(block, Words(data, offsets, NON_WORD), least, percent):
+                yield (at + near + row[0], *row[1:])
+
+
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least: int = 13, percent: int = 80, block_words: int = BLOCK_WORDS,
@@ -157,11 +165,11 @@ def overlaps(
     def search(block: Block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at, _, data, offsets in steps(_lowered(b.column(1))):
-                    rows = _overlaps(block, Words(data, offsets, NON_WORD), least, percent)
-                    ids = b.column(0).take(pa.array([at + r[0] for r in rows], pa.int64()))
-                    rest = [pa.array([r[c] for r in rows], pa.int64()) for c in range(1, 5)]
-                    yield pa.RecordBatch.from_arrays([ids, *rest], names=[id_col, "item_id", "first_word", "n_words", "n_equal"])
+                rows = list(_found(block, b.column(1), least, percent))
+                ids = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+                rest = [pa.array([r[c] for r in rows], pa.int64()) for c in range(1, 5)]
+                yield pa.RecordBatch.from_arrays([ids, *rest], names=[id_col, "item_id", "first_word", "n_words", "n_equal"])
+            memory_returned()
 
         return own.mapInArrow(run, schema)
 
@@ -182,10 +190,10 @@ def decontaminated(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
-                for at, _, data, offsets in steps(_lowered(b.column(text_at))):
-                    for row in _overlaps(block, Words(data, offsets, NON_WORD), least, percent):
-                        clean[at + row[0]] = False
+                for row in _found(block, b.column(text_at), least, percent):
+                    clean[row[0]] = False
                 yield b.filter(pa.array(clean))
+            memory_returned()
 
         return run
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelwright.llm.common import U64, Words, hashed, mix64
+from panelwright.llm.common import U64, Words, hashed, memory_returned, mix64
 from panelwright.llm.components import components
 from panelwright.semantics import persisted
 
@@ -114,6 +114,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) ->
                 ],
                 names=["id", "n", "d1", "d2", "bands"],
             )
+    memory_returned()
 
 
 _SEEN = "a long, b long, same boolean, n long, c long, " + ", ".join(f"w{i} long" for i in range(BITMAP))
@@ -145,6 +146,7 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         bits = np.packbits(maps, axis=1).view(np.int64)
         arrays = [pa.array(x, t) for x, t in zip(cols, kinds)] + [pa.array(bits[:, i]) for i in range(BITMAP)]
         yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "same", "n", "c", *(f"w{i}" for i in range(BITMAP))])
+    memory_returned()
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:

@@ -131,3 +131,26 @@ def test_share_of_equal_words_counts_over_the_whole_overlap(spark):
     frame = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
     assert got(dec.overlaps(frame, bench)) == {k: n for k, n in want.items() if n}
     assert all(want[10 * i, i] == 80 for i, _ in items)
+
+
+def test_texts_are_lowered_in_bounded_steps(monkeypatch):
+    """No copy of a whole batch; rows keep their numbers, whatever lower case does to their length."""
+    import numpy as np
+    import pyarrow as pa
+
+    from panelwright.llm.common import STEP_BYTES
+
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    words = dec.Words(np.frombuffer(item.encode(), np.uint8), np.array([0, len(item)]), dec.NON_WORD).hash
+    texts = ["İ" * 40_000 if i % 3 else "filler " * 10_000 for i in range(40)] + [None, "", item.upper()]
+    texts[20] = "İ " * 1000 + item.title()
+    block, lowered, sizes = dec._make_block([7], [words]), dec._lowered, []
+
+    def seen(column):
+        sizes.append(sum(len(t.encode()) for t in column.to_pylist() if t))
+        return lowered(column)
+
+    monkeypatch.setattr(dec, "_lowered", seen)
+    got = [r[:2] for r in dec._found(block, pa.array(texts), 13, 80)]
+    assert got == [(20, 7), (42, 7)]
+    assert max(sizes) <= STEP_BYTES < sum(sizes) / 4
