@@ -6,13 +6,12 @@ a space in both streams are anchors; they cut a document into windows, short
 tuples of ids. A window's alignment (its groups, its links) depends on its
 two tuples alone, so it is worked out once and looked up afterwards.
 
-Counts over the corpus use the same windows. Documents are read in chunks; a
-chunk numbers its distinct windows and keeps, for each document, which ones
-it holds and how often. The links of the windows give the count of every pair
-of ids, the counts give each window its sums, and the sums go back to the
-chunk that numbered the window, packed as arrays. No token and no window is
-moved, but a few bytes of sums for each window of a chunk, however frequent it
-is.
+Counts over the corpus use the links at the shared ends. Documents are read
+in chunks; a chunk numbers the distinct pairs of ids that are linked in it and
+keeps, for each document, which ones it holds and how often. A pair is a row of
+its chunk, however many windows and documents hold it: these rows give the
+count of every pair over the corpus, and the counts go back to the chunks that
+numbered the pair, packed as arrays. No token and no window leaves its task.
 """
 
 from __future__ import annotations
@@ -28,9 +27,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.llm.common import mix64
 from panelwright.llm.tokens import ID, ByteLevel, Memo, Parted, Pieces, gathered, loaded, packed_between, text_steps
-from panelwright.semantics import BROADCAST_BYTES, persisted, row_bytes
+from panelwright.semantics import BROADCAST_BYTES, broadcast_if_small, persisted
 
-#: A chunk ends above these: distinct windows, their links, and windows named by documents. They bound a task's memory.
+#: A chunk ends above these: distinct windows, their links (and distinct pairs), and pairs named by documents. They bound a task's memory.
 CHUNK_WINDOWS, CHUNK_IDS, CHUNK_NAMES = 300_000, 6_000_000, 5_000_000
 
 #: Bytes of text aligned at once; a step holds some twenty numbers for each of its tokens.
@@ -39,9 +38,6 @@ STEP = 1_000_000
 #: Parts remembered in a generation.
 PARTS = 240_000
 
-#: Parts that a frequent pair's windows are dealt over where the table of pairs is too large to broadcast.
-SALTS = 32
-
 
 class Aligner:
     """Two tokenizers with the bytes of their ids."""
@@ -137,8 +133,8 @@ class Aligner:
                 return np.arange(n), np.arange(n)
         return kinds, group
 
-    def described(self, a, b, end_a, end_b, first, stop, from_a, from_b) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Group texts of windows, and the ids of their links, from the groups ``first:stop`` of each."""
+    def described(self, a, b, end_a, end_b, first, stop, from_a, from_b) -> list[str]:
+        """Group texts of windows, from the groups ``first:stop`` of each."""
         groups = _spans(first, stop)
         # a group starts where the one before ends, the first of a window at the window's start
         begin_a, begin_b = (np.where(groups > 0, e[groups - 1] + 1, 0) for e in (end_a, end_b))
@@ -156,8 +152,7 @@ class Aligner:
         out[both - 1] += 1
         signs, cuts = out.tolist(), both[np.cumsum(stop - first) - 1].tolist()
         written = self.written
-        texts = ["".join([written[c] for c in signs[i:j]])[:-1] for i, j in zip([0, *cuts], cuts)]
-        return texts, a[end_a[groups]].astype(np.int32), b[end_b[groups]].astype(np.int32)
+        return ["".join([written[c] for c in signs[i:j]])[:-1] for i, j in zip([0, *cuts], cuts)]
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,7 +181,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
 
 _CHUNKS = (
     "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-    "names array<int>, times array<int>, name int, n long, link_a array<int>, link_b array<int>"
+    "names array<int>, times array<int>, name int, n long, a_id int, b_id int"
 )
 
 
@@ -198,41 +193,48 @@ def _spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 class _Chunk:
-    """Distinct windows by their id tuples, with group text, links and how often they came."""
+    """Distinct windows by their id tuples with their group text, and the linked pairs with how often they came."""
 
     def __init__(self, number: int):
         self.number = number
         self.known: dict[tuple[bytes, bytes], int] = {}
         self.texts: list[str] = []
-        #: links of the windows in order, in parts, and how many each window has
-        self.link_a, self.link_b, self.links = [], [], []
         self.n_links = 0
+        #: pair (one number for both ids) -> its name in this chunk
+        self.pairs: dict[int, int] = {}
         self.counts = np.zeros(0, np.int64)
         self.named = 0
 
     def full(self) -> bool:
-        return len(self.texts) > CHUNK_WINDOWS or self.n_links > CHUNK_IDS or self.named > CHUNK_NAMES
+        return len(self.texts) > CHUNK_WINDOWS or max(self.n_links, len(self.pairs)) > CHUNK_IDS or self.named > CHUNK_NAMES
 
     def learn(self, key: tuple[bytes, bytes], text: str) -> int:
         code = self.known[key] = len(self.texts)
         self.texts.append(text)
         return code
 
-    def count(self, codes: np.ndarray) -> None:
-        if len(self.counts) < len(self.texts):
-            self.counts = np.concatenate([self.counts, np.zeros(max(len(self.texts), 1 << 16), np.int64)])
-        self.counts[: len(self.texts)] += np.bincount(codes, minlength=len(self.texts))
+    def names(self, pairs: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Names of pairs that came so many times; equal pairs may stand several times."""
+        distinct, place = np.unique(pairs, return_inverse=True)
+        pairs_known = self.pairs
+        names = np.array([pairs_known.setdefault(p, len(pairs_known)) for p in distinct.tolist()], np.int64)[place]
+        if len(self.counts) < len(pairs_known):
+            self.counts = np.concatenate([self.counts, np.zeros(max(len(pairs_known), 1 << 12), np.int64)])
+        np.add.at(self.counts, names, times)
+        return names
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
-    """A row for each document and one for each distinct window of a chunk; memory is bounded by a chunk and a text."""
+    """A row for each document and one for each pair of ids that a chunk links; memory is bounded by a chunk and a text."""
     one = loaded(Aligner, path_a, path_b=path_b)
     base = TaskContext.get().partitionId() << 32
     ints = pa.list_(pa.int32())
     kinds = [("chunk", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string())]
-    kinds += [("names", ints), ("times", ints), ("name", pa.int32()), ("n", pa.int64()), ("link_a", ints), ("link_b", ints)]
+    kinds += [("names", ints), ("times", ints), ("name", pa.int32()), ("n", pa.int64()), ("a_id", pa.int32()), ("b_id", pa.int32())]
     schema = pa.schema(kinds)
     size = ID.itemsize
+    ids_b = len(one.bytes_b)
+    all_pairs = len(one.bytes_a) * ids_b
     chunk = _Chunk(base)
 
     def table(rows: int, cols: dict) -> pa.RecordBatch:
@@ -243,9 +245,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iter
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.asarray(values, np.int32)))
 
     def close() -> pa.RecordBatch:
-        n, stops = len(chunk.texts), np.concatenate([[0], np.cumsum(np.concatenate(chunk.links))])
+        n, pairs = len(chunk.pairs), np.fromiter(chunk.pairs, np.int64, len(chunk.pairs))
         cols = {"chunk": pa.array(np.full(n, chunk.number)), "name": pa.array(np.arange(n, dtype=np.int32)), "n": pa.array(chunk.counts[:n])}
-        return table(n, cols | {"link_a": lists(stops, np.concatenate(chunk.link_a)), "link_b": lists(stops, np.concatenate(chunk.link_b))})
+        return table(n, cols | {"a_id": pa.array(pairs // ids_b), "b_id": pa.array(pairs % ids_b)})
 
     for batch in batches:
         for step in text_steps(batch, 1, STEP):
@@ -265,23 +267,20 @@ def _chunks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iter
             fresh = [i for i, code in enumerate(found) if code is None]
             if fresh:
                 new = kinds_of[fresh]
-                texts, link_a, link_b = one.described(a, b, end_a, end_b, first[new], last[new] + 1, from_a[new], from_b[new])
+                texts = one.described(a, b, end_a, end_b, first[new], last[new] + 1, from_a[new], from_b[new])
                 for i, text in zip(fresh, texts):
                     found[i] = chunk.learn(keys[i], text)
-                chunk.link_a.append(link_a)
-                chunk.link_b.append(link_b)
-                chunk.links.append(last[new] + 1 - first[new])
-                chunk.n_links += len(link_a)
-            numbers = np.array(found, np.int64)[group]
-            codes = numbers.tolist()
-            chunk.count(numbers)
+                chunk.n_links += int((last[new] + 1 - first[new]).sum())
+            codes = np.array(found, np.int64)[group].tolist()
             # the windows of each document: up to the one that ends with its last token
-            upto = np.concatenate([[0], np.searchsorted(stop_a, np.cumsum(n_a), "right")])
-            doc = np.repeat(np.arange(len(coded)), np.diff(upto))
-            pairs, times = np.unique(doc << 32 | numbers, return_counts=True)
-            held = np.concatenate([[0], np.cumsum(np.bincount(pairs >> 32, minlength=len(coded)))])
+            bounds = [0, *np.searchsorted(stop_a, np.cumsum(n_a), "right").tolist()]
+            # a shared end links the two tokens before it; the links of each document likewise
             links = np.diff(np.concatenate([[0], np.searchsorted(end_a, np.cumsum(n_a), "left")]))
-            texts, bounds = chunk.texts, upto.tolist()
+            doc = np.repeat(np.arange(len(coded)), links)
+            pairs, times = np.unique(doc * all_pairs + a[end_a].astype(np.int64) * ids_b + b[end_b], return_counts=True)
+            held = np.concatenate([[0], np.cumsum(np.bincount(pairs // all_pairs, minlength=len(coded)))])
+            names = chunk.names(pairs % all_pairs, times)
+            texts = chunk.texts
             shas = [
                 hashlib.sha256(";".join([texts[c] for c in codes[i:j]]).encode()).hexdigest() if j > i else ""
                 for i, j in zip(bounds, bounds[1:])
@@ -289,18 +288,17 @@ def _chunks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iter
             cols = {"chunk": pa.array(np.full(len(coded), chunk.number)), "doc_id": step.column(0), "n_a": pa.array(n_a), "n_b": pa.array(n_b)}
             # no token is empty, so a group ends with exactly one link
             cols |= {"n_groups": pa.array(links), "n_links": pa.array(links), "groups_sha256": pa.array(shas, pa.string())}
-            yield table(len(coded), cols | {"names": lists(held, pairs & 0xFFFFFFFF), "times": lists(held, times)})
+            yield table(len(coded), cols | {"names": lists(held, names), "times": lists(held, times)})
             chunk.named += len(pairs)
             if chunk.full():
                 yield close()
                 chunk = _Chunk(chunk.number + 1)
-    if chunk.texts:
+    if chunk.pairs:
         yield close()
 
 
 def _link_rows(chunks: DataFrame) -> DataFrame:
-    pairs = F.inline(F.arrays_zip(F.col("link_a").alias("a_id"), F.col("link_b").alias("b_id")))
-    return chunks.where("name is not null").select("chunk", "name", "n", pairs)
+    return chunks.where("name is not null").select("chunk", "name", "n", "a_id", "b_id")
 
 
 def link_counts(chunks: DataFrame) -> DataFrame:
@@ -323,16 +321,10 @@ def statistics(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
     pairs = persisted(link_counts(chunks), "links")
     # the two sides of the cogroup come from one table: the key gets a name of its own
     links = _link_rows(chunks).select(F.col("chunk").alias("of_chunk"), "name", "a_id", "b_id")
-    if pairs.count() * row_bytes(pairs.schema) <= BROADCAST_BYTES:
-        # the links of a window stay in the task that read it, one after the other
-        met = links.join(F.broadcast(pairs), ["a_id", "b_id"])
-    else:
-        # a pair may close a third of all windows: each pair meets its windows in SALTS places
-        salted = links.withColumn("salt", F.pmod(F.xxhash64("of_chunk", "name"), F.lit(SALTS)).cast("int"))
-        met = salted.join(pairs.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS))))), ["a_id", "b_id", "salt"])
-        met = met.groupBy("of_chunk", "name").agg(F.sum("links").alias("links"), F.count_if("best").alias("best"))
+    # a pair is held once by a chunk; broadcast, the pairs of a chunk stay in the task that read them, one after the other
+    met = links.join(broadcast_if_small(pairs, BROADCAST_BYTES), ["a_id", "b_id"])
     sums = met.select("of_chunk", "name", "links", F.col("best").cast("long").alias("best")).mapInArrow(_packed, _SUMS)
-    whole = chunks.where("name is null").drop("name", "n", "link_a", "link_b")
+    whole = chunks.where("name is null").drop("name", "n", "a_id", "b_id")
     return whole.groupBy("chunk").cogroup(sums.groupBy("of_chunk")).applyInArrow(
         _summed,
         "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string",
@@ -343,7 +335,7 @@ _SUMS = "of_chunk long, names array<int>, bests array<long>, counts array<long>"
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of neighbouring rows of a window, a row of arrays for each chunk of a batch; a window may come in several parts."""
+    """Sums of neighbouring rows of a name, a row of arrays for each chunk of a batch; a name may come in several parts."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -359,7 +351,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _summed(docs: pa.Table, sums: pa.Table) -> pa.Table:
-    """Sums of a chunk's windows to its documents; both sides are bounded by what makes a chunk."""
+    """Sums of a chunk's names to its documents; both sides are bounded by what makes a chunk."""
     name, own_best, own_total = (sums[c].combine_chunks().flatten().to_numpy() for c in ("names", "bests", "counts"))
     n = int(name.max()) + 1 if len(name) else 0
     best, total = np.zeros(n, np.int64), np.zeros(n, np.int64)

@@ -231,3 +231,25 @@ def test_packed_sums_of_split_windows():
     docs = pa.table(docs | {"names": pa.array([[0, 1], []], ints), "times": pa.array([[2, 1], []], ints)})
     got = alignment._summed(docs, own).to_pylist()
     assert [(r["n_best"], r["count_sum"]) for r in got] == [(4, 18), (0, 0)]
+
+
+def test_a_chunk_gives_rows_for_pairs_not_for_windows(monkeypatch):
+    """Many different words of few tokens: rows grow with the linked pairs, and every pair stands once with its count."""
+    import itertools
+
+    import pyarrow as pa
+
+    parts = ["an", "er", "ing", "ol", "is", "at", "en", "or"]
+    texts = [" ".join("".join(p) for p in itertools.islice(itertools.product(parts, repeat=5), i, None, 8)) for i in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(alignment.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+    rows = pa.Table.from_batches(list(alignment._chunks(iter([batch]), A, B))).to_pylist()
+    docs, named = [r for r in rows if r["doc_id"] is not None], [r for r in rows if r["name"] is not None]
+    windows = len({w for t in texts for w in t.split(" ")})
+    assert len(named) * 4 < windows and sum(r["n"] for r in named) == sum(r["n_links"] for r in docs) > windows
+    one = alignment.Aligner(A, B)
+    links: Counter = Counter()
+    for a, b in one.encode(texts):
+        a, b = np.frombuffer(a, tokens.ID), np.frombuffer(b, tokens.ID)
+        links.update((int(a[i]), int(b[j])) for i, j in zip(*one.shared_ends(a, b)))
+    assert Counter({(r["a_id"], r["b_id"]): r["n"] for r in named}) == links and len(named) == len(links)
