@@ -225,6 +225,38 @@ def test_steps_of_two_tables_share_folds(spark):
     assert "goal" in fitted.predict({"teams": teams, "players": players})["players"].columns
 
 
+def test_steps_that_do_not_need_each_other_are_staged_once(spark, monkeypatch):
+    rows = [(p, s, float(p)) for p in range(12) for s in range(4)]
+    df = spark.createDataFrame(rows, "period int, side int, y double")
+    calendar = C.period_folds(df, ["period"], 3)
+    table, other = (C.with_folds(df, calendar, ["period"]) for _ in range(2))
+    written, fitted_on = [], []
+    stage = C.persisted
+    monkeypatch.setattr(C, "persisted", lambda d, label: (written.append(set(d.columns)), stage(d, label))[1])
+
+    def mean(name, on="rows", needs=(), **more):
+        def fit(train):
+            fitted_on.append(train.count())
+            value = train.agg(F.avg("y")).first()[0]
+            return lambda d, out: d.withColumn(out, F.lit(value))
+
+        return C.Step(name, fit, on, tuple(needs), **more)
+
+    shared = {"rows": ("seen", ("period", "side"), ("period", "side"), None)}
+    steps = [mean("p1"), mean("p2"), mean("q", "other", shared=shared), mean("end", needs=("p1", "p2", "seen"))]
+    fitted = C.fit_chain({"rows": table, "other": other}, steps, 3, workers=1)
+    # each table once, with all that was added to it
+    assert len(written) == 2 and {"q"} < written[0] and {"p1", "p2", "seen"} < written[1]
+    # the fold with the most to learn from is not the last to start
+    assert fitted_on[0] == max(fitted_on[:9]) > fitted_on[8]
+    fold_of = {r.period: r.fold for r in calendar.collect()}
+    for r in fitted.training["rows"].collect():
+        earlier = [p for p in range(12) if fold_of[p] < r.fold]
+        want = pytest.approx(np.mean(earlier)) if earlier else None
+        assert (r.p1, r.p2, r.seen) == (want, want, want)
+    assert fitted.training["rows"].count() == 48
+
+
 def test_needs_nobody_makes_are_an_error():
     with pytest.raises(ValueError, match="nothing makes"):
         C.ordered([C.Step("a", None, needs=("b",)), C.Step("b", None, needs=("a",))])
