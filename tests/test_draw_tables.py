@@ -84,3 +84,36 @@ def test_small_counts_need_no_pass_over_all_steps(spark):
     plain = out.select("k", "g", X.uniform(7, "g", "k", "draw_id").alias("u"), X.poisson_steps("lam").alias("s")).where("k <> 5").collect()
     assert all(r.g == sum(c <= r.u for c in r.s) for r in plain) and max(r.g for r in plain) > X.FIRST_STEPS
     assert out.where("k = 5").agg(F.avg("g")).first()[0] == pytest.approx(1200, rel=0.01)
+
+
+def test_only_draws_that_reach_a_floor_are_ranked(spark, monkeypatch):
+    """Awards are those of a ranking of all draws, but what is staged for it is a small part of them."""
+    rng = np.random.default_rng(4)
+    labels = ["GK", "DEF", "MID", "FWD"]
+    rows = [(i, 1 + i % 2, labels[i % 4], bool(i % 9), float(rng.normal(10, 6)), float(rng.gamma(1, 0.4)), 0.2) for i in range(600)]
+    rows += [(None, 1, "FWD", True, 30.0, 0.5, 0.1), (7, 2, "MID", True, 12.0, 0.3, 0.2), (900, None, "FWD", True, 50.0, 1.0, 0.0), (901, 3, "DEF", True, 4.0, 0.1, 0.5)]
+    rows += [(902, 3, "MID", True, -4.0, 0.0, 0.5), (903, 4, None, True, None, 0.1, 0.5), (904, 1, "FWD", True, float("nan"), 0.1, 0.5)]
+    df = spark.createDataFrame(rows, "k int, match_id int, fpl_position string, playing boolean, baseline double, lam double, p double")
+    drawn = X.draws(df, 40, "k", {"goals": "lam", "assists": "lam"}, {"yellow": "p", "clean_sheet": "p"}).cache()
+    staged, stage = {}, X.persisted
+
+    def noted(d, label):
+        staged[label] = stage(d, label)
+        return staged[label]
+
+    monkeypatch.setattr(X, "persisted", noted)
+    got = {r.k: r.mean_award for r in X.award_over_draws(drawn, "k").collect()}
+    score = (
+        F.col("baseline") + F.col("goals") * X.by_class("fpl_position", X.AWARD_SCORE["goal"], 18) + F.col("assists") * X.AWARD_SCORE["assist"]
+        + F.col("clean_sheet") * X.by_class("fpl_position", X.AWARD_SCORE["clean_sheet"], 0) + F.col("yellow") * X.AWARD_SCORE["yellow"]
+    )
+    plain = drawn.withColumn("s", F.when(F.col("playing"), score).otherwise(0.0))
+    plain = tier_award(plain, ["draw_id", "match_id"], "s", "a").groupBy("k").agg(F.avg("a").alias("m"))
+    assert got == {r.k: r.m for r in plain.collect()} and len(got) == 606
+    assert got[904] == 3 and got[900] == 0 and got[902] == 0 and got[903] == 0
+    assert 0 < staged["reached"].count() < drawn.count() / 4
+
+
+def test_few_rows_are_drawn_by_as_many_tasks_as_many(spark):
+    df = spark.range(20).select("id", F.lit(0.5).alias("lam"))
+    assert X.draws(df, 10, "id", {"goals": "lam"}).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
