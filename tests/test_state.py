@@ -257,6 +257,27 @@ def test_steps_that_do_not_need_each_other_are_staged_once(spark, monkeypatch):
     assert fitted.training["rows"].count() == 48
 
 
+def test_a_step_without_needs_does_not_wait_for_staged_predictions(spark):
+    rows = [(p, float(p)) for p in range(12) for _ in range(3)]
+    df = spark.createDataFrame(rows, "period int, y double")
+    table = C.with_folds(df, C.period_folds(df, ["period"], 3), ["period"])
+    seen = []
+
+    def step(name, needs=()):
+        def fit(train):
+            seen.append((name, set(train.columns), train.count()))
+            value = train.agg(F.avg("y")).first()[0]
+            return lambda d, out: d.withColumn(out, F.lit(value))
+
+        return C.Step(name, fit, "rows", tuple(needs))
+
+    fitted = C.fit_chain({"rows": table}, [step("p1"), step("alone"), step("end", ["p1"])], 3, workers=2)
+    assert [s.out for s, _ in fitted.steps] == ["p1", "alone", "end"]
+    whole = {name: cols for name, cols, n in seen if n == 36}
+    assert "p1" not in whole["alone"] | whole["p1"] and "p1" in whole["end"]
+    assert len(seen) == 6 and fitted.training["rows"].count() == 36
+
+
 def test_needs_nobody_makes_are_an_error():
     with pytest.raises(ValueError, match="nothing makes"):
         C.ordered([C.Step("a", None, needs=("b",)), C.Step("b", None, needs=("a",))])
